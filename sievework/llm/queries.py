@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import neighbours
-from sievework.sources.tables import table
+from sievework.llm import distinctive, neighbours
+from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
 NEAR = 0.97
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivered_once(table(spark, sf_dir, "document_chunk"), "content")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that a chunk repeats and that few other chunks have."""
+    scored = distinctive.distinctive_terms(_chunks(spark, sf_dir), "id", "content")
+    return scored.where("tf >= 3 and df between 2 and 8 and z > 0").select(F.col("id").alias("chunk_id"), "term")
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's terms with their z-score."""
+    scored = distinctive.distinctive_terms(_chunks(spark, sf_dir), "id", "content")
+    return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "cf", "df", F.round("z", 6).alias("z"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = neighbours.unit_vectors(table(spark, sf_dir, "document_chunk"), "id", "vector_id")
     near = neighbours.nearest(vectors, neighbours.Search(min_similarity=NEAR, probes=1))
@@ -27,5 +43,22 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, search, only="id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_neighbours)}
+
+_TERMS = r"""
+with chunks as (select id, any_value(content) as content from document_chunk group by id),
+words as (select id, unnest(regexp_extract_all(lower(content), '[a-zß-öø-ÿ]{4,}')) as term from chunks),
+counts as (select id, term, count(*) as tf from words group by id, term),
+sizes as (select id, sum(tf) as n from counts group by id),
+vocabulary as (select term, sum(tf) as cf, count(*) as df from counts group by term),
+total as (select sum(cf) as t from vocabulary),
+parts as (
+  select id, term, tf, n, cf, df, t, tf + 1000.0 * cf / t as i, cf - tf + 1000.0 * cf / t as o
+  from counts join sizes using (id) join vocabulary using (term) cross join total)
+"""
+ORACLE: dict[str, str] = {
+    "p2_found": _TERMS + "select id as chunk_id, term from parts where tf >= 3 and df between 2 and 8",
+    "p2_scores": _TERMS
+    + """select id as chunk_id, term, tf, cast(cf as bigint) as cf, df,
+      round((ln(i / (n + 1000.0 - i)) - ln(o / (t - n + 1000.0 - o))) / sqrt(1.0 / i + 1.0 / o), 6) as z from parts""",
+}
