@@ -211,6 +211,8 @@ def _matcher(search: Search, all_query: bool):
             i, j = np.nonzero(ok)
             if len(i):
                 out.append((q[i], fid[j]))
+                if all_query:  # either side may have found the pair
+                    out.append((fid[j], q[i]))
 
     def match(batches):
         held: list = []
@@ -284,10 +286,13 @@ def candidates(vectors: DataFrame, search: Search, queries: DataFrame | None = N
         placed = rows.mapInArrow(_placer(m_of, search, probing=False, filing=True), _PLACED).unionByName(
             asking.mapInArrow(_placer(m_of, search, probing=True, filing=False), _PLACED)
         )
+    hot = None
     if max(sizes.values(), default=0) > search.block_rows:
-        placed = _blocked(placed, rows, m_of, search)
-    else:
+        hot = _hot_buckets(rows, m_of, search)
+    if hot is None:
         placed = placed.withColumn("block", F.lit(0))
+    else:
+        placed = _blocked(placed, hot)
     sorted_rows = (
         placed.select("place", "block", "probe", "id", "half")
         .repartition("place", "block")
@@ -296,23 +301,21 @@ def candidates(vectors: DataFrame, search: Search, queries: DataFrame | None = N
     return sorted_rows.mapInArrow(_matcher(search, queries is None), _FOUND).dropDuplicates(["query_id", "id"])
 
 
-def _blocked(placed: DataFrame, rows: DataFrame, m_of: dict[int, int], search: Search) -> DataFrame:
-    """Number the blocks of buckets above block_rows; queries are sent to each block of their bucket."""
+def _hot_buckets(rows: DataFrame, m_of: dict[int, int], search: Search) -> DataFrame | None:
+    """(place, blocks) of the buckets above block_rows, or None if there are none."""
     filed = rows.mapInArrow(_placer(m_of, search, probing=False, filing=True), _PLACED).select("place")
-    hot = (
-        filed.groupBy("place")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > search.block_rows)
-        .select("place", F.ceil(F.col("n") / (search.block_rows / 2)).cast("int").alias("blocks"))
-    )
+    hot = filed.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > search.block_rows)
+    hot = cut(hot.select("place", F.ceil(F.col("n") / (search.block_rows / 2)).cast("int").alias("blocks")))
+    return None if hot.isEmpty() else hot
+
+
+def _blocked(placed: DataFrame, hot: DataFrame) -> DataFrame:
+    """Number the blocks of hot buckets: a filed vector stays in one block and asks in the others."""
     joined = placed.join(hot, "place", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # A filed vector stays in one block and asks in the others.
-    spread = joined.where("blocks is not null").withColumn("block", F.explode(every))
-    spread = spread.withColumn("probe", F.col("probe") | (F.col("block") != own)).drop("blocks")
-    calm = joined.where("blocks is null").withColumn("block", F.lit(0)).drop("blocks")
-    return calm.unionByName(spread)
+    every = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    spread = joined.withColumn("block", F.explode(every))
+    return spread.withColumn("probe", F.col("probe") | (F.col("block") != own))
 
 
 def nearest(vectors: DataFrame, search: Search, only: str | None = None) -> DataFrame:
@@ -330,8 +333,6 @@ def nearest(vectors: DataFrame, search: Search, only: str | None = None) -> Data
         wanted = members.where(F.expr(only)).select(F.col("rep").alias("id")).distinct()
         asking = vectors.join(wanted, "id", "left_semi")
     near = candidates(reps, search, asking)
-    if only is None:  # either side may have found the pair
-        near = near.unionByName(near.select(F.col("id").alias("query_id"), F.col("query_id").alias("id"))).distinct()
     exact = _exact(near, vectors).where(F.col("similarity") >= search.min_similarity)
     # From representatives to members: k entries of other groups are enough for each asking group ...
     by_rep = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
