@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import distinctive, neighbours
+from sievework.llm import distinctive, neighbours, pairs
 from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
@@ -28,6 +28,18 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "cf", "df", F.round("z", 6).alias("z"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = delivered_once(table(spark, sf_dir, "eval_case_result"), "case_id", "answer", "error_message")
+    return pairs.defective_pairs(results, delivered_once(table(spark, sf_dir, "eval_case"), "question"))
+
+
+def p3_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that another answer to the same question begins with."""
+    results = delivered_once(table(spark, sf_dir, "eval_case_result"), "case_id", "answer")
+    short = pairs.shortened_answers(results, "case_id", "answer")
+    return results.join(short, ["case_id", "answer"], "left_semi").select(F.col("id").alias("result_id"), "case_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = neighbours.unit_vectors(table(spark, sf_dir, "document_chunk"), "id", "vector_id")
     near = neighbours.nearest(vectors, neighbours.Search(min_similarity=NEAR, probes=1))
@@ -43,7 +55,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, search, only="id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_neighbours)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours)}
 
 _TERMS = r"""
 with chunks as (select id, any_value(content) as content from document_chunk group by id),
@@ -57,6 +69,10 @@ parts as (
   from counts join sizes using (id) join vocabulary using (term) cross join total)
 """
 ORACLE: dict[str, str] = {
+    "p3_shortened": """
+with results as (select id, any_value(case_id) as case_id, any_value(answer) as answer from eval_case_result group by id)
+select a.id as result_id, a.case_id from results a where length(a.answer) >= 16 and exists (
+  select 1 from results b where b.case_id = a.case_id and b.answer <> a.answer and starts_with(b.answer, a.answer))""",
     "p2_found": _TERMS + "select id as chunk_id, term from parts where tf >= 3 and df between 2 and 8",
     "p2_scores": _TERMS
     + """select id as chunk_id, term, tf, cast(cf as bigint) as cf, df,
