@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import distinctive, neighbours, pairs
+from sievework.llm import distinctive, markup, neighbours, pairs, ranking, splitting, tokenizer
 from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
@@ -55,7 +55,87 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, search, only="id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours)}
+#: Scores of a result and whether higher is better.
+SCORES = {"recall_at_5": True, "mrr": True, "judge_score": True, "latency_ms": False}
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = delivered_once(table(spark, sf_dir, "eval_case_result"), "run_id", *SCORES)
+    valid = results.where("judge_score between 0 and 5 and latency_ms > 0")
+    return ranking.fused_ranking(valid, "run_id", "id", SCORES)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.dominant(_ranking(spark, sf_dir), "run_id", "id", SCORES)
+    return found.select("run_id", F.col("id").alias("result_id"))
+
+
+def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ranked result with its place in its run."""
+    r = _ranking(spark, sf_dir)
+    return r.select("run_id", F.col("id").alias("result_id"), F.round("projection", 6).alias("projection"), "rank", "tied")
+
+
+def p5_score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaled average rank of each score, before they are weighed."""
+    r = _ranking(spark, sf_dir)
+    return r.select("run_id", F.col("id").alias("result_id"), *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in SCORES])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = _chunks(spark, sf_dir).select("id", markup.clean_text(F.col("content")).alias("c"))
+    return cleaned.select(F.col("id").alias("chunk_id"), F.explode("c.kinds").alias("kind"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every chunk."""
+    cleaned = _chunks(spark, sf_dir).select("id", markup.clean_text(F.col("content")).alias("c"))
+    return cleaned.select(F.col("id").alias("chunk_id"), F.col("c.text").alias("text"))
+
+
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = delivered_once(
+        table(spark, sf_dir, "document_chunk").where(F.char_length("content") > splitting.Limits().limit),
+        "document_id",
+        "chunk_index",
+        "content",
+    )
+    return splitting.oversized(chunks, "content")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forced = F.when(F.col("split.forced"), "forced").otherwise("natural")
+    return _oversized(spark, sf_dir).select(F.col("id").alias("chunk_id"), forced.alias("cut"))
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk, numbered within document and chunk index."""
+    pieces = splitting.numbered_pieces(_oversized(spark, sf_dir), ["document_id", "chunk_index"], "id")
+    return pieces.select("document_id", "chunk_index", F.col("id").alias("chunk_id"), "piece_no", "overlap", "piece")
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each oversized chunk, and of its pieces without their overlaps."""
+    rows = p7_pieces(spark, sf_dir).groupBy("chunk_id")
+    return rows.agg(F.sum(F.char_length("piece") - F.col("overlap")).alias("n_chars"))
+
+
+def _bpe() -> str:
+    return tokenizer.place_of(tokenizer.BYTE_BPE_50K)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tokenizer.token_ids(F.col("text"), _bpe()).alias("ids"))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether decoding gives each text again (null counts as empty)."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tokenizer.round_trip(F.col("text"), _bpe()).cast("int").alias("same")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours, p5_found, p5_ranking, p5_score_ranks, p6_found, p6_clean, p7_found, p7_pieces, p7_lengths, p8_ids, p8_round_trip)}
 
 _TERMS = r"""
 with chunks as (select id, any_value(content) as content from document_chunk group by id),
@@ -68,7 +148,40 @@ parts as (
   select id, term, tf, n, cf, df, t, tf + 1000.0 * cf / t as i, cf - tf + 1000.0 * cf / t as o
   from counts join sizes using (id) join vocabulary using (term) cross join total)
 """
+_RANKED = """
+with results as (
+  select id, any_value(run_id) as run_id, any_value(recall_at_5) as recall_at_5, any_value(mrr) as mrr,
+    any_value(judge_score) as judge_score, any_value(latency_ms) as latency_ms
+  from eval_case_result group by id),
+ranked as (
+  select * from results where recall_at_5 is not null and mrr is not null and latency_ms > 0
+    and judge_score between 0 and 5 and not isnan(recall_at_5) and not isnan(mrr) and not isnan(judge_score))
+"""
+
+
+def _rank_sql(column: str, order: str) -> str:
+    share = f"(rank() over (partition by run_id order by {column} {order}) - 1 + (count(*) over (partition by run_id, {column}) - 1) / 2.0)"
+    return f"case when count(*) over (partition by run_id) > 1 then round({share} / (count(*) over (partition by run_id) - 1), 6) else 1.0 end as z_{column}"
+
+
 ORACLE: dict[str, str] = {
+    "p5_found": _RANKED
+    + """select run_id, id as result_id from ranked a
+  where exists (select 1 from ranked b where b.run_id = a.run_id and b.id <> a.id)
+  and not exists (select 1 from ranked b where b.run_id = a.run_id and b.id <> a.id and not (
+    a.recall_at_5 >= b.recall_at_5 and a.mrr >= b.mrr and a.judge_score >= b.judge_score and a.latency_ms <= b.latency_ms
+    and (a.recall_at_5 > b.recall_at_5 or a.mrr > b.mrr or a.judge_score > b.judge_score or a.latency_ms < b.latency_ms)))""",
+    "p5_score_ranks": _RANKED
+    + "select run_id, id as result_id, "
+    + ", ".join(_rank_sql(c, "asc" if up else "desc") for c, up in SCORES.items())
+    + " from ranked",
+    "p7_found": r"""
+with chunks as (select id, any_value(content) as content from document_chunk group by id)
+select id as chunk_id, case when len(list_filter(regexp_split_to_array(content, '[ \t\n\r　。！？]'), lambda x: length(x) > 800)) > 0
+  then 'forced' else 'natural' end as cut from chunks where length(content) > 800""",
+    "p7_lengths": """
+select id as chunk_id, length(any_value(content)) as n_chars from document_chunk where length(content) > 800 group by id""",
+    "p8_round_trip": "select doc_id, 1 as same from documents",
     "p3_shortened": """
 with results as (select id, any_value(case_id) as case_id, any_value(answer) as answer from eval_case_result group by id)
 select a.id as result_id, a.case_id from results a where length(a.answer) >= 16 and exists (
