@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import distinctive, markup, neighbours, pairs, ranking, splitting, tokenizer
+from sievework.llm import distinctive, markup, mixing, neighbours, pairs, ranking, repetition, splitting, tokenizer
 from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
@@ -135,7 +135,43 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours, p5_found, p5_ranking, p5_score_ranks, p6_found, p6_clean, p7_found, p7_pieces, p7_lengths, p8_ids, p8_round_trip)}
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Plan:
+    return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), _bpe())
+
+
+def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return mixing.usage(_mix(spark, sf_dir), spark)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return mixing.actual_shares(_mix(spark, sf_dir), spark)
+
+
+def p9_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source and block of every slot of the mix."""
+    return mixing.schedule(_mix(spark, sf_dir), spark)
+
+
+def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that mostly say what they said before: within the tokens' bound, then by passages."""
+    r = _repetition(spark, sf_dir)
+    return r.where((F.col("entropy_loss") >= repetition.REPEATED) & (F.col("repeated_share") >= repetition.REPEATED)).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated share and tokeniser fertility of every document."""
+    r = _repetition(spark, sf_dir)
+    measures = ["entropy_loss", "repeated_share", "chars_per_token", "byte_share", "token_entropy"]
+    return r.select("doc_id", *[F.round(c, 6).alias(c) for c in measures], "n_tokens", "in_band")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours, p5_found, p5_ranking, p5_score_ranks, p6_found, p6_clean, p7_found, p7_pieces, p7_lengths, p8_ids, p8_round_trip, p9_usage, p9_shares, p9_schedule, p10_found, p10_shares)}
 
 _TERMS = r"""
 with chunks as (select id, any_value(content) as content from document_chunk group by id),
