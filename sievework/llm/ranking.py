@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.session import cut
+
 #: Every loading is at least this share of the largest.
 LEAST_LOADING = 1e-3
 
@@ -89,20 +91,19 @@ def fused_ranking(df: DataFrame, group: str, key: str, scores: dict[str, bool])
     present = df
     for c in scores:
         present = present.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    present = present.select(
-        group, key, *scores, *[(F.col(c).cast("double") * (1 if up else -1) + 0.0).alias(f"_{c}") for c, up in scores.items()]
-    )
+    present = cut(present.select(group, key, *scores))
     sizes = present.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = present.join(sizes, group)
-    for c in scores:
-        place = average_ranks(present, [group], f"_{c}")
-        z = (F.col("low") + F.col("high")) / 2.0
-        place = place.select(group, f"_{c}", z.alias(f"_r_{c}"))
-        ranked = ranked.join(place, [group, f"_{c}"])
-        ranked = ranked.withColumn(f"z_{c}", F.when(F.col("_size") > 1, (F.col(f"_r_{c}") - 1) / (F.col("_size") - 1)).otherwise(1.0))
-    weights = principal_weights(ranked, [group], [f"z_{c}" for c in scores])
-    total = sum((F.get("weights", F.lit(i)) * F.col(f"z_{c}") for i, c in enumerate(scores)), F.lit(0.0))
-    projected = ranked.join(weights, group).withColumn("projection", F.round(total, 12))
+    upwards = [F.struct(F.lit(i).alias("i"), (F.col(c).cast("double") * (1 if up else -1) + 0.0).alias("v")) for i, (c, up) in enumerate(scores.items())]
+    long = present.select(group, key, F.explode(F.array(*upwards)).alias("_s")).select(group, key, "_s.i", "_s.v")
+    place = average_ranks(long, [group, "i"], "v").join(sizes, group)
+    share = ((F.col("low") + F.col("high")) / 2.0 - 1) / (F.col("_size") - 1)
+    place = place.select(group, "i", "v", F.when(F.col("_size") > 1, share).otherwise(1.0).alias("z"))
+    wide = long.join(place, [group, "i", "v"]).groupBy(group, key)
+    names = [f"z_{c}" for c in scores]
+    ranked = cut(wide.agg(*[F.max(F.when(F.col("i") == i, F.col("z"))).alias(n) for i, n in enumerate(names)]))
+    weights = principal_weights(ranked, [group], names)
+    total = sum((F.get("weights", F.lit(i)) * F.col(n) for i, n in enumerate(names)), F.lit(0.0))
+    projected = cut(ranked.join(weights, group).withColumn("projection", F.round(total, 12)))
     # projections lie in 0..len(scores): even buckets
     buckets = F.floor(F.col("projection") * 4096).cast("bigint")
     order = average_ranks(projected, [group], "projection", buckets)
@@ -112,8 +113,10 @@ def fused_ranking(df: DataFrame, group: str, key: str, scores: dict[str, bool])
         (F.col("_size") - F.col("high") + 1).alias("rank"),
         (F.col("high") - F.col("low") + 1).alias("tied"),
     )
-    return projected.join(order, [group, "projection"]).select(
-        group, key, *scores, *[f"z_{c}" for c in scores], "weights", "projection", "rank", "tied"
+    return (
+        projected.join(order, [group, "projection"])
+        .join(present, [group, key])
+        .select(group, key, *scores, *names, "weights", "projection", "rank", "tied")
     )
 
 
