@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ HEADING = (
 # --------------------------------------------------------------------------------
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where `use` refers to it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Without leading and trailing control characters and blanks."""
     return F.regexp_replace(text, f"^{TRIMMED}+|{TRIMMED}+$", "")

@@ -56,14 +56,19 @@ def compress(df: DataFrame, question: str, content: str, config: Compression) ->
     out = out.withColumn("_title", title(F.col("_t"))).withColumn("_terms", compression_terms(F.col(question), config))
     out = out.withColumn("_phrase", tx.without_words(tx.squash(F.coalesce(question, F.lit(""))), NOISE))
 
-    def scored(s: Column, i: Column) -> Column:
-        squashed = tx.squash(s)
-        hits = F.size(F.filter("_terms", lambda t: (F.length(t) > 0) & F.contains(squashed, t))).cast("double")
-        hits = hits + F.when((F.length("_phrase") > 0) & F.contains(squashed, "_phrase"), 2.0).otherwise(0.0)
-        score = F.when((hits > 0) & (s != F.col("_title")), hits + F.lit(1.0) / (i + 1)).otherwise(0.0)
-        return F.struct((-score).alias("order"), i.alias("i"), s.alias("s"))
-
-    picked = F.filter(F.transform(sentences(F.col("_t")), scored), lambda x: x["order"] < 0)
+
+    def score(s: Column, i: Column, q: Column) -> Column:
+        def of(squashed: Column) -> Column:
+            hits = F.size(F.filter(q["terms"], lambda t: (F.length(t) > 0) & F.contains(squashed, t))).cast("double")
+            hits = hits + F.when((F.length(q["phrase"]) > 0) & F.contains(squashed, q["phrase"]), 2.0).otherwise(0.0)
+            total = F.when((hits > 0) & (s != q["title"]), hits + F.lit(1.0) / (i + 1)).otherwise(0.0)
+            return F.struct((-total).alias("order"), i.alias("i"), s.alias("s"))
+
+        return tx.let(tx.squash(s), of)
+
+    asked = F.struct(F.col("_terms").alias("terms"), F.col("_phrase").alias("phrase"), F.col("_title").alias("title"))
+    found = tx.let(asked, lambda q: F.transform(sentences(F.col("_t")), lambda s, i: score(s, i, q)))
+    picked = F.filter(found, lambda x: x["order"] < 0)
     best = F.slice(F.array_sort(picked), 1, max(1, config.max_sentences))
     in_order = F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     out = out.withColumn("_best", F.array_join(F.transform(in_order, lambda x: x["s"]), "\n"))

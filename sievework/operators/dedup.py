@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.config import Dedup
 from sievework.functions import text as tx
+from sievework.session import cut
+
+_BLANKS = re.compile(tx.BLANKS)
 
 
 def content_hash(text: Column) -> Column:
@@ -18,24 +24,45 @@ def content_hash(text: Column) -> Column:
 def body(text: Column) -> Column:
     """The cleaned text with trimmed lines and without its first heading line, wherever that is."""
     lines = F.transform(F.split(tx.clean(text), "\n"), tx.trim_all)
-    at = F.array_position(F.transform(lines, tx.is_heading), F.lit(True))
-    rest = F.filter(lines, lambda _, i: (i + 1) != at)
-    return tx.clean(F.array_join(rest, "\n"))
+
+    def rest(l: Column) -> Column:
+        at = F.array_position(F.transform(l, tx.is_heading), F.lit(True))
+        return tx.let(at, lambda n: F.array_join(F.filter(l, lambda _, i: (i + 1) != n), "\n"))
+
+    return tx.clean(tx.let(lines, rest))
 
 
 def body_hash(text: Column, config: Dedup = Dedup()) -> Column:
     """SHA-256 of the body; empty if it is shorter than min_length."""
-    b = body(text)
-    return F.when(F.length(b) < config.min_length, "").otherwise(F.sha2(b, 256))
+    return tx.let(body(text), lambda b: F.when(F.length(b) < config.min_length, "").otherwise(F.sha2(b, 256)))
 
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct character n-grams of the body without white space; a shorter text is its own, an empty one has none."""
-    compact = F.regexp_replace(text, tx.BLANKS, "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(compact) - (size - 1), F.lit(1))), lambda i: compact.substr(i, F.lit(size)))
-    return F.when(F.length(compact) == 0, F.array().cast("array<string>")).when(
-        F.length(compact) < size, F.array(compact)
-    ).otherwise(F.array_distinct(grams))
+
+    def grams(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: c.substr(i, F.lit(size)))
+        none = F.array().cast("array<string>")
+        return F.when(F.length(c) == 0, none).when(F.length(c) < size, F.array(c)).otherwise(F.array_distinct(every))
+
+    return tx.let(F.regexp_replace(text, tx.BLANKS, ""), grams)
+
+
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """Sorted 64-bit hashes of shingles(): the same sets, computed in Arrow batches."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        from xxhash import xxh3_64_intdigest
+
+        out = []
+        for t in texts:
+            c = _BLANKS.sub("", t or "")
+            grams = {c[i : i + size] for i in range(max(1, len(c) - size + 1))} if c else ()
+            out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
+        return pd.Series(out, dtype=object)
+
+    return run(text)
 
 
 def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataFrame:
@@ -65,8 +92,8 @@ def similar_pairs(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
     which spreads even the commonest shingles.
     """
     t = config.threshold
-    sets = chunks.select("document_id", "id", shingles(body(F.col("content")), config.shingle_size).alias("s"))
-    sets = sets.where(F.size("s") > 0).withColumn("h", F.array_sort(F.transform("s", lambda x: F.xxhash64(x)))).drop("s")
+    sets = chunks.select("document_id", "id", shingle_hashes(body(F.col("content")), config.shingle_size).alias("h"))
+    sets = cut(sets.where(F.size("h") > 0))
     keep = F.size("h") - F.ceil(F.size("h") * t).cast("int") + 1
     heads = sets.select("document_id", "id", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), keep)).alias("g"))
     left, right = heads.alias("l"), heads.alias("r")

@@ -57,13 +57,15 @@ def ngram_terms(tokens: Column, shortest: int, stop_words: list[str]) -> Column:
 
 def score_terms(question: Column) -> Column:
     """All terms of a question in order: tokens or n-grams, then the whole phrase; the question itself if none."""
-    squashed = tx.squash(question)
-    tokens = F.split(squashed, "[^a-z0-9一-龥]+")
-    phrase = tx.without_words(squashed, STOP_WORDS)
-    last = F.when(F.length(phrase) > 0, F.array(phrase)).otherwise(F.array().cast("array<string>"))
-    terms = F.array_distinct(F.concat(ngram_terms(tokens, 2, STOP_WORDS), last))
-    whole = F.when(F.size(terms) > 0, terms).otherwise(F.array(squashed))
-    return F.when(F.length(tx.trim_all(F.coalesce(question, F.lit("")))) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+    def of(squashed: Column) -> Column:
+        tokens = F.split(squashed, "[^a-z0-9一-龥]+")
+        phrase = tx.without_words(squashed, STOP_WORDS)
+        last = F.when(F.length(phrase) > 0, F.array(phrase)).otherwise(F.array().cast("array<string>"))
+        terms = F.array_distinct(F.concat(ngram_terms(tokens, 2, STOP_WORDS), last))
+        return F.when(F.size(terms) > 0, terms).when(F.length(squashed) > 0, F.array(squashed)).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(tx.squash(F.coalesce(question, F.lit(""))), of)
 
 
 def search_terms(question: Column, most: int = 8) -> Column:

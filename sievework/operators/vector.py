@@ -52,11 +52,13 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     grid = sizes.join(q_sizes, ["scope", "dim"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    # fresh names on both sides: they may come from one table
+    renamed = lambda *names: [F.col(n).alias(n) for n in names]
     left = asked.join(grid, ["scope", "dim"]).select(
-        "scope", "dim", spread("blocks").alias("b"), own("query_id", "q_blocks").alias("q"), "query_id", "vector"
+        *renamed("scope", "dim"), spread("blocks").alias("b"), own("query_id", "q_blocks").alias("q"), *renamed("query_id", "vector")
     )
     right = held.join(grid, ["scope", "dim"]).select(
-        "scope", "dim", own("id", "blocks").alias("b"), spread("q_blocks").alias("q"), "id", "vector"
+        *renamed("scope", "dim"), own("id", "blocks").alias("b"), spread("q_blocks").alias("q"), *renamed("id", "vector")
     )
 
     def unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
