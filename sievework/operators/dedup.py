@@ -93,7 +93,7 @@ def similar_pairs(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
     """
     t = config.threshold
     sets = chunks.select("document_id", "id", shingle_hashes(body(F.col("content")), config.shingle_size).alias("h"))
-    sets = cut(sets.where(F.size("h") > 0))
+    sets = cut(sets).where(F.size("h") > 0)
     keep = F.size("h") - F.ceil(F.size("h") * t).cast("int") + 1
     heads = sets.select("document_id", "id", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), keep)).alias("g"))
     left, right = heads.alias("l"), heads.alias("r")
