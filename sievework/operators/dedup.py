@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,21 +49,22 @@ def shingles(text: Column, size: int = 5) -> Column:
     return tx.let(F.regexp_replace(text, tx.BLANKS, ""), grams)
 
 
-def shingle_hashes(text: Column, size: int = 5) -> Column:
-    """Sorted 64-bit hashes of shingles(): the same sets, computed in Arrow batches."""
+def shingle_hashes(chunks: DataFrame, size: int = 5) -> DataFrame:
+    """(document_id, id, h): sorted 64-bit hashes of the shingles of each body; the sets of shingles(), in Arrow batches."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        out = []
-        for t in texts:
-            c = _BLANKS.sub("", t or "")
-            grams = {c[i : i + size] for i in range(max(1, len(c) - size + 1))} if c else ()
-            out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
-        return pd.Series(out, dtype=object)
+        for batch in batches:
+            out = []
+            for t in batch.column(2).to_pylist():
+                c = _BLANKS.sub("", t or "")
+                grams = {c[i : i + size] for i in range(max(1, len(c) - size + 1))} if c else ()
+                out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["document_id", "id", "h"])
 
-    return run(text)
+    bodies = chunks.select(F.col("document_id").cast("bigint"), F.col("id").cast("bigint"), body(F.col("content")))
+    return bodies.mapInArrow(run, "document_id bigint, id bigint, h array<bigint>")
 
 
 def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataFrame:
@@ -92,8 +94,7 @@ def similar_pairs(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
     which spreads even the commonest shingles.
     """
     t = config.threshold
-    sets = chunks.select("document_id", "id", shingle_hashes(body(F.col("content")), config.shingle_size).alias("h"))
-    sets = cut(sets).where(F.size("h") > 0)
+    sets = cut(shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0))
     keep = F.size("h") - F.ceil(F.size("h") * t).cast("int") + 1
     heads = sets.select("document_id", "id", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), keep)).alias("g"))
     left, right = heads.alias("l"), heads.alias("r")
