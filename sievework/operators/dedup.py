@@ -63,7 +63,7 @@ def shingle_hashes(chunks: DataFrame, size: int = 5) -> DataFrame:
                 out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["document_id", "id", "h"])
 
-    bodies = chunks.select(F.col("document_id").cast("bigint"), F.col("id").cast("bigint"), body(F.col("content")))
+    bodies = chunks.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("id").cast("bigint").alias("id"), body(F.col("content")).alias("b"))
     return bodies.mapInArrow(run, "document_id bigint, id bigint, h array<bigint>")
 
 
