@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from sievework.config import Bm25
 from sievework.functions import text as tx
+from sievework.session import cut
 
 # --- Fixed values ---------------------------------------------------------------
 #: Question words that are no search terms.
@@ -143,7 +144,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, config: Bm25 = Bm25()) -> DataFr
         "query_id", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"),
         tx.without_words(tx.squash(F.col("question")), PHRASE_NOISE).alias("phrase"),
     )
-    hits = match_terms(chunks, wanted).join(chunks.select("id", "scope"), "id")
+    hits = cut(match_terms(chunks, wanted).join(chunks.select("id", "scope"), "id"))  # read twice below
     frequency = hits.where("raw").groupBy("scope", "term").agg(F.count("*").alias("df"))
     stats = scope_statistics(chunks)
     lengths = chunks.where("content is not null").select(

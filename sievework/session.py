@@ -48,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few partitions one per core, for work that costs far more than moving the rows.
+
+    Only for scans and narrow steps after them: counting partitions must not
+    run a shuffle. Scans with enough partitions stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
