@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import distinctive, markup, mixing, neighbours, pairs, ranking, repetition, splitting, tokenizer
+from sievework.session import spread
 from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
@@ -125,18 +126,18 @@ def _bpe() -> str:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokenizer.token_ids(F.col("text"), _bpe()).alias("ids"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tokenizer.token_ids(F.col("text"), _bpe()).alias("ids"))
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether decoding gives each text again (null counts as empty)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", tokenizer.round_trip(F.col("text"), _bpe()).cast("int").alias("same")
     )
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Plan:
-    return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), _bpe())
+    return mixing.plan(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_target"), _bpe())
 
 
 def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,7 @@ def p9_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return repetition.repetition(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
