@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar chunks of every chunk whose id is divisible by 100."""
     vectors = neighbours.unit_vectors(table(spark, sf_dir, "document_chunk"), "id", "vector_id")
-    search = neighbours.Search(k=5, tables=6, probes=16, projections=5)
+    search = neighbours.Search(k=5, tables=4, probes=12, projections=6)
     return neighbours.nearest(vectors, search, only="id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
