@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.config import Bm25, Compression, Retrieval, Rewrite
 from sievework.functions import text as tx
-from sievework.operators import context, hybrid, keyword, rewrite, vector
+from sievework.operators import context, evaluate, hybrid, keyword, models, rewrite, vector
 from sievework.plans import sql as q
 from sievework.plans.document_queries import chunks, docs
 from sievework.sources.tables import delivered_once, table
@@ -205,10 +205,58 @@ def m01_embedding(spark, d):
     return rows.select(F.sha2("content", 256).alias("text_hash"), F.size(v).alias("dim"), F.round(total, 6).alias("total"))
 
 
+def _sources(spark, d):
+    """Final sources of every question with their places and texts."""
+    final = hybrid.cut_off(hybrid.rerank(_merged(spark, d)[2])).select("query_id", "rank", "id")
+    return final.join(scoped_chunks(spark, d, "chunk_index").select("id", "document_id", "chunk_index", "content"), "id")
+
+
+def e02_run_cases(spark, d):
+    """A whole evaluation run: retrieve, answer from the first source, check citations, measure against the golden chunks."""
+    golden = delivered_once(table(spark, d, "eval_case"), "golden_chunks").select(F.col("id").alias("query_id"), "golden_chunks")
+    row = F.struct("rank", F.concat_ws(":", "document_id", "chunk_index").alias("k"), "content")
+    listed = _sources(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    cases = questions(spark, d).select("query_id").join(golden, "query_id").join(listed, "query_id", "left")
+    cases = cases.withColumn("s", F.coalesce("s", F.array().cast(cases.schema["s"].dataType)))
+    cases = cases.select(
+        "query_id", evaluate.golden_keys(F.col("golden_chunks")).alias("g"), F.transform("s", lambda x: x["k"]).alias("r"),
+        F.transform("s", lambda x: x["rank"]).alias("n"), models.extractive_answer(F.get("s", F.lit(0))["content"]).alias("answer"),
+    )
+    m = evaluate.retrieval_metrics(F.col("g"), F.col("r"), 5)
+    out = context.check_citations(cases, "answer", F.col("n"))
+    return out.select(
+        "query_id", F.size("n").alias("n_sources"), F.round(m["recall"], 6).alias("recall"), m["hit"].alias("hit"),
+        F.round(m["mrr"], 6).alias("mrr"), F.col("valid").cast("int").alias("citation_valid"),
+    )
+
+
+def x11_prompt(spark, d):
+    sources = context.assemble(_sources(spark, d))
+    rows = questions(spark, d).join(sources, "query_id")
+    return rows.select("query_id", F.sha2(models.answer_prompt(F.col("question"), F.col("context")), 256).alias("prompt_hash"))
+
+
+def m05_overlap_rerank(spark, d):
+    """The merged list reranked by the stand-in reranker."""
+    merged = _merged(spark, d)[2]
+    texts = scoped_chunks(spark, d).select("id", "content")
+    scored = merged.join(texts, "id").join(questions(spark, d).select("query_id", "question"), "query_id")
+    relevance = scored.select("query_id", "id", models.overlap_relevance(F.col("question"), F.col("content")).alias("relevance"))
+    return hybrid.rerank(merged, relevance).select("query_id", "id", F.round("final_score", 6).alias("final_score"))
+
+
+def m07_judge(spark, d):
+    """Expected answers judged by the stand-in judge against their required words."""
+    rows = delivered_once(table(spark, d, "eval_case"), "expected_answer", "required_keywords").where("expected_answer is not null")
+    words = F.coalesce(F.from_json("required_keywords", "array<string>"), F.array().cast("array<string>"))
+    raw = models.coverage_judge(F.col("expected_answer"), F.filter(words, lambda w: w.isNotNull()))
+    return rows.select("id", F.round(evaluate.judge_scores(raw)["judge"], 4).alias("judge"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        h03_hybrid, v01_parse, v02_cosine, v03_embedding_topk, v03_vector_topk, a01_corpus_stats, a02_document_frequency, b01_keywords,
+        e02_run_cases, x11_prompt, m05_overlap_rerank, m07_judge, h03_hybrid, v01_parse, v02_cosine, v03_embedding_topk, v03_vector_topk, a01_corpus_stats, a02_document_frequency, b01_keywords,
         b04_bm25, b07_keyword_topk, b08_rule_score, r02_model_rerank, r03_retrieve, r04_cache_key, a12_funnel, q01_normalize,
         q04_rewrite, x01_sentences, x05_compress, x07_context, x09_citations, x10_repair, m01_embedding,
     )
@@ -312,8 +360,32 @@ def _normalize_sql() -> str:
     return f"with {q.CASES} select id, trim(regexp_replace({n}, '{q.BLANK}', ' ', 'g'), ' ') as normalized from cases where question is not null"
 
 
+_LIST = "case when json_valid(golden_chunks) and json_type(golden_chunks) = 'ARRAY' then json_extract(golden_chunks, '$[*]') else []::json[] end"
+_GOLDEN_KEY = (
+    "case when json_type(x, '$.documentId') in ('UBIGINT', 'BIGINT') and json_type(x, '$.chunkIndex') in ('UBIGINT', 'BIGINT') "
+    "then json_extract_string(x, '$.documentId') || ':' || json_extract_string(x, '$.chunkIndex') end"
+)
+_BLOCKS = """blocks as (select query_id, rank, '[' || rank || ']' || chr(10) || 'documentId: ' || document_id || chr(10) || 'chunkIndex: ' || chunk_index || chr(10) ||
+  'content:' || chr(10) || content || chr(10) || chr(10) as b from final join held using (id))"""
 _CITED = r"list_filter(list_transform(regexp_extract_all(coalesce(answer, ''), '\[([0-9]+)\]', 1), lambda x: try_cast(x as int)), lambda x: x is not null)"
 ORACLE = {
+    "e02_run_cases": _HYBRID
+    + f""", golden as (select id as query_id, list_distinct(list_filter(list_transform({_LIST}, lambda x: {_GOLDEN_KEY}), lambda k: k is not null)) as g from cases),
+src as (select query_id, list(document_id || ':' || chunk_index order by rank) as r from final join held using (id) group by query_id),
+j as (select asked.query_id, g, coalesce(r, []) as r from asked join golden using (query_id) left join src using (query_id)),
+m as (select *, len(list_filter(r, lambda x: list_contains(g, x))) as f, list_position(list_transform(r, lambda x: list_contains(g, x)), true) as p from j)
+select query_id, len(r)::int as n_sources, round(case when len(g) > 0 then f / len(g) else 0.0 end, 6) as recall, (f > 0)::int as hit,
+  round(case when f > 0 then 1.0 / p else 0.0 end, 6) as mrr, 1 as citation_valid from m""",
+    "x11_prompt": _HYBRID
+    + f""", {_BLOCKS}, ctx as (select query_id, string_agg(b, '' order by rank) as c from blocks group by query_id)
+select query_id, sha256('Answer from the numbered sources only and cite each statement as [n]. Say so if they hold no answer.' || chr(10) || chr(10) || 'Question: ' ||
+  question || chr(10) || chr(10) || 'Sources:' || chr(10) || c) as prompt_hash from asked join ctx using (query_id)""",
+    "m05_overlap_rerank": _HYBRID
+    + f""" select m.query_id, m.id, round(coalesce(count(term) filter (contains({q.squashed('content')}, term)) / nullif(count(term), 0), 0), 6) as final_score
+  from merged m join held using (id) left join search_terms on k = m.query_id group by m.query_id, m.id""",
+    "m07_judge": f"""with {q.CASES}, w as (select id, {q.squashed('expected_answer')} as s, list_filter(case when json_valid(required_keywords)
+  and json_type(required_keywords) = 'ARRAY' then from_json(required_keywords, '["VARCHAR"]') else []::varchar[] end, lambda x: x is not null) as kw from cases where expected_answer is not null)
+select id, round(round(coalesce(len(list_filter(kw, lambda k: contains(s, {q.squashed('k')}))) / nullif(len(kw), 0), 1.0) * 5, 2), 4) as judge from w""",
     "v01_parse": f"""with {q.CHUNKS}, p as (select id, list_transform(list_filter(list_transform(string_split(vector_id, ','), lambda x: trim(x)), lambda x: length(x) > 0),
   lambda x: try_cast(x as double)) as v from chunks where vector_id is not null),
 r as (select id, case when len(list_filter(v, lambda x: x is null)) = 0 then v end as v from p) select id, len(v)::int as dim, round(v[1], 6) as first from r""",
