@@ -20,8 +20,10 @@ Embedder = Callable[[Column], Column]
 
 def embed_distinct(df: DataFrame, text: str, embed: Embedder, vector: str = "vector") -> DataFrame:
     """Adds the vector of each text; every distinct text is embedded once. Null texts have none."""
-    vectors = df.select(text).where(F.col(text).isNotNull()).distinct().withColumn(vector, embed(F.col(text)))
-    return df.join(vectors, text, "left")
+    texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    # joined by digest: texts themselves cross the network once only
+    vectors = texts.select(F.sha2("_text", 256).alias("_digest"), embed(F.col("_text")).alias(vector))
+    return df.join(vectors, F.sha2(df[text], 256) == F.col("_digest"), "left").drop("_digest")
 
 
 def seeded_embedding(key: Column, n: int = 10, seed: int = 1) -> Column:
