@@ -161,8 +161,8 @@ def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that mostly say what they said before: within the tokens' bound, then by passages."""
-    r = _repetition(spark, sf_dir)
-    return r.where((F.col("entropy_loss") >= repetition.REPEATED) & (F.col("repeated_share") >= repetition.REPEATED)).select("doc_id")
+    rows = spread(table(spark, sf_dir, "documents"))
+    return repetition.repeated_documents(rows, "doc_id", "text").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

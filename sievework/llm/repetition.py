@@ -128,11 +128,23 @@ def entropy_loss(units: list[str], path: str) -> float:
     """Bits by which the words' tokens fall short of all being different, per character."""
     if not units:
         return 0.0
-    ids = _pieces(path)[0].encode(" ".join(units), out_type=str, num_threads=1)
-    counts = Counter(ids)
-    sizes = {p: 1 if p.startswith("<0x") else len(p.replace("▁", "")) for p in counts}
-    total = sum(sizes[p] * c for p, c in counts.items())
-    return sum(sizes[p] * c * math.log2(c) for p, c in counts.items()) / total if total else 0.0
+    model, _ = _pieces(path)
+    counts = Counter(model.encode(" ".join(units), num_threads=1))
+    sizes = _piece_sizes(path)
+    total = loss = 0.0
+    for i, c in counts.items():
+        n = sizes[i] * c
+        total += n
+        if c > 1:
+            loss += n * math.log2(c)
+    return loss / total if total else 0.0
+
+
+@lru_cache(maxsize=2)
+def _piece_sizes(path: str) -> list[int]:
+    """Characters of each piece without its blank mark; a fallback byte counts as one."""
+    model, fallback = _pieces(path)
+    return [1 if i in fallback else len(model.id_to_piece(i).replace("▁", "")) for i in range(model.get_piece_size())]
 
 
 def in_band(measures: tuple, lang: str | None) -> bool:
@@ -168,3 +180,23 @@ def repetition(df: DataFrame, key: str, text: str, lang: str, path: str | None =
     """(key, repeated_share, fertility measures, in_band) of each document; narrow, no shuffle."""
     found = df.select(key, measures_of(F.col(text), F.col(lang), path or place_of(PIECES)).alias("m"))
     return found.select(key, "m.*")
+
+
+def repeated_documents(df: DataFrame, key: str, text: str, least: float = REPEATED, path: str | None = None) -> DataFrame:
+    """(key, entropy_loss, repeated_share) of the documents whose repeated share is at least `least`.
+
+    The tokens' bound comes first, passages are compared only where it allows
+    the share; as it is never below the share, no document is missed.
+    """
+    place = path or place_of(PIECES)
+
+    @F.pandas_udf("entropy_loss double, repeated_share double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            units = units_of(t) if t else []
+            bound = entropy_loss(units, place)
+            rows.append((bound, share_of(units) if bound >= least else 0.0))
+        return pd.DataFrame(rows, columns=["entropy_loss", "repeated_share"])
+
+    return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*").where(F.col("repeated_share") >= least)
