@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from sievework.config import Splitting
 from sievework.functions import text as tx
+from sievework.operators.models import embed_distinct
 from sievework.operators.vector import cosine
 
 # --- Fixed values ---------------------------------------------------------------
@@ -170,9 +171,8 @@ def semantic_chunks(
     embedded once; the order within a document is restored by its own window.
     """
     listed = df.select(key, F.posexplode(_per_text(lambda t: paragraphs(t, config))(tx.clean(F.col(text)))).alias("n", "p"))
-    vectors = listed.select("p").distinct().withColumn("v", embed(F.col("p")))
     order = Window.partitionBy(key).orderBy("n")
-    seq = listed.join(vectors, "p").withColumn("heading", tx.is_heading(tx.first_line(F.col("p"))))
+    seq = embed_distinct(listed, "p", embed, "v").withColumn("heading", tx.is_heading(tx.first_line(F.col("p"))))
     previous = F.lag("v").over(order)
     far = previous.isNotNull() & ~F.lag("heading").over(order) & (cosine(previous, F.col("v")) < config.similarity_threshold)
     # headings need no embedding to start a section

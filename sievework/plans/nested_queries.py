@@ -58,4 +58,28 @@ def p1_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_links, p1_retrieved)}
-ORACLE: dict[str, str] = {}
+
+_NORM = """case when json_type({x}) = 'VARCHAR' and json_valid(json_extract_string({x}, '$'))
+  and json_type(json_extract_string({x}, '$')) in ('ARRAY', 'OBJECT') then json_extract_string({x}, '$')::json else {x} end"""
+_SOURCES = " union all ".join(
+    f"select '{t}' as source_table, id as record_id, {c}::json as j from (select distinct on (id) id, {c} from {t}) where json_valid({c})"
+    for t, c in FIELDS
+)
+_WALK = f"""with recursive src as ({_SOURCES}),
+walk as (
+  select source_table, record_id, '$' as path, {_NORM.format(x='j')} as node, false as element from src
+  union all
+  select source_table, record_id, path || (c).s, {_NORM.format(x='(c).v')}, (c).e from (
+    select source_table, record_id, path, unnest(case json_type(node)
+      when 'ARRAY' then list_transform(range(0, json_array_length(node)::bigint), lambda i: {{'s': '[' || i || ']', 'v': json_extract(node, '$[' || i || ']'), 'e': true}})
+      when 'OBJECT' then list_transform(json_keys(node), lambda k: {{'s': '.' || k, 'v': json_extract(node, '$."' || k || '"'), 'e': false}}) end) as c
+    from walk where json_type(node) in ('ARRAY', 'OBJECT')))
+"""
+ORACLE: dict[str, str] = {
+    "p1_found": _WALK + "select source_table, record_id, path from walk where element and json_type(node) = 'OBJECT'",
+    "p1_retrieved": _WALK
+    + r"""select record_id, regexp_extract(path, '(\d+)', 1)::int as position, try_cast(json_extract_string(node, '$.documentId') as bigint) as document_id,
+  try_cast(json_extract_string(node, '$.chunkIndex') as int) as chunk_index, round(try_cast(json_extract_string(node, '$.similarityScore') as double), 6) as similarity,
+  round(try_cast(json_extract_string(node, '$.finalScore') as double), 6) as final_score
+  from walk where source_table = 'eval_case_result' and regexp_full_match(path, '\$\[\d+\]') and json_type(node) = 'OBJECT'""",
+}
