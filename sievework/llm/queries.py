@@ -202,6 +202,14 @@ def _rank_sql(column: str, order: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "p4_found": f"""
+with raw as (select id, any_value(vector_id) as v from document_chunk where vector_id is not null group by id),
+split as (select id, list_transform(list_filter(list_transform(string_split(replace(replace(v, '[', ' '), ']', ' '), ','), lambda x: trim(x)),
+  lambda x: length(x) > 0), lambda x: try_cast(x as double)) as v from raw),
+usable as materialized (select id, case when len(list_filter(v, lambda x: x is null)) = 0 then v end as v from split
+  where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0)
+select a.id as chunk_id, b.id as neighbour_id from usable a join usable b on len(a.v) = len(b.v) and a.id < b.id
+where list_cosine_similarity(a.v, b.v) >= {NEAR}""",
     "p5_found": _RANKED
     + """select run_id, id as result_id from ranked a
   where exists (select 1 from ranked b where b.run_id = a.run_id and b.id <> a.id)
