@@ -299,3 +299,25 @@ def test_repetition_column(spark):
     df = spark.createDataFrame([(1, "ab cd ef gh ij kl mn. " * 3, "en"), (2, None, None), (3, "", "zz")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["repeated_share"] for r in repetition.repetition(df, "doc_id", "text", "lang").collect()}
     assert got[1] == pytest.approx(2 / 3) and got[2] == 0.0 and got[3] == 0.0
+
+
+# --- empty tables, nulls and clashing names --------------------------------------
+def test_empty_and_null_inputs(spark):
+    none = spark.createDataFrame([], "id long, v string")
+    assert neighbours.nearest(neighbours.unit_vectors(none, "id", "v"), neighbours.Search()).count() == 0
+    nulls = spark.createDataFrame([(None, "1,2"), (1, None), (2, "1,2")], "id long, v string")
+    assert neighbours.nearest(neighbours.unit_vectors(nulls, "id", "v"), neighbours.Search()).count() == 0
+    odd = spark.createDataFrame([(1, "word word", "x", 3)], "id long, term string, tf string, n int")
+    assert [(r["term"], r["tf"]) for r in distinctive.distinctive_terms(odd, "id", "term").collect()] == [("word", 2)]
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert repetition.repetition(docs, "doc_id", "text", "lang").count() == 0
+    assert repetition.repeated_documents(docs, "doc_id", "text").count() == 0
+    assert docs.select(tokenizer.token_ids(F.col("text"), BPE)).count() == 0
+    assert docs.select(markup.clean_text(F.col("text"))).count() == 0
+    assert splitting.oversized(docs, "text").count() == 0
+
+
+def test_repeated_documents(spark):
+    rows = [(1, "The cold cache rejects the stale index now. " * 3), (2, "The cold cache rejects the stale index now."), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in repetition.repeated_documents(df, "doc_id", "text").collect()] == [1]
