@@ -15,6 +15,7 @@ of repeated keys in one object the last counts, as in most JSON readers.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +44,10 @@ _ARROW = pa.schema(
 BATCH_ROWS = 8192
 
 
+#: Where a word begins in a name like documentId; the same for Python and Java.
+_HUMP = "([a-z0-9])([A-Z])"
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
@@ -69,6 +74,10 @@ def _read(text: str | None):
         return None
 
 
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
 def _container(value):
     if isinstance(value, (list, dict)):
         return value
@@ -77,11 +86,37 @@ def _container(value):
     return None
 
 
-def label_nodes(text: str | None, members: bool = True) -> Iterator[tuple]:
+def merge_spellings(members: list[tuple]) -> list[tuple]:
+    """The members under one spelling of their names: documentId and document_id are both document_id.
+
+    No value is lost: of two members that share a name, the one spelt so keeps
+    it, else the first; the other keeps its own spelling. Null gives way.
+    """
+    merged: dict = {}
+    for key, value in sorted(members, key=lambda m: (m[1] is None, m[0] != snake(m[0]))):
+        name = snake(key)
+        if name not in merged:
+            merged[name] = value
+        elif value is not None:
+            merged[key] = value
+    return list(merged.items())
+
+
+def snake(key: str) -> str:
+    return re.sub(_HUMP, r"\1_\2", key).lower()
+
+
+def merged_path(schema_path):
+    """`snake` for a column of schema paths."""
+    return F.lower(F.regexp_replace(schema_path, _HUMP, "$1_$2"))
+
+
+def label_nodes(text: str | None, members: bool = True, scalars: bool = False) -> Iterator[tuple]:
     """(dewey, schema path, path, position, is_element, members, parent's depth, parent's schema path) of each object.
 
     The parent is the nearest enclosing object, or the record ("$", depth 0). Objects come in document order. The walk keeps its own stack, so depth is
-    bounded by the JSON reader only.
+    bounded by the JSON reader only. With scalars, the listed values that are neither objects nor lists nor null come too, with
+    themselves as their only member, `value`; they are no elements.
     """
     root = _read(text)
     if root is None:
@@ -91,32 +126,36 @@ def label_nodes(text: str | None, members: bool = True) -> Iterator[tuple]:
         node, label, schema, path, position, element, depth, owner = stack.pop()
         below = []
         if isinstance(node, dict):
-            scalars = []
+            own = []
             for n, (key, value) in enumerate(node.items()):
                 inner = _container(value)
                 if inner is None:
                     if members:
-                        scalars.append((key, None if value is None else value if isinstance(value, str) else json.dumps(value)))
+                        own.append((key, _text(value)))
                 else:
                     below.append((inner, (*label, n), f"{schema}.{key}", f"{path}.{key}", None, False, len(label), schema))
-            yield list(label), schema, path, position, element, scalars, depth, owner
+            yield list(label), schema, path, position, element, own, depth, owner
         else:
             for n, value in enumerate(node):
                 inner = _container(value)
-                if inner is not None:
-                    at = (depth, owner) if owner else (0, "$")
+                at = (depth, owner) if owner else (0, "$")
+                if inner is None:
+                    if scalars and value is not None:
+                        yield [*label, n], f"{schema}[]", f"{path}[{n}]", n, False, [("value", _text(value))], *at
+                else:
                     below.append((inner, (*label, n), f"{schema}[]", f"{path}[{n}]", n, isinstance(inner, dict), *at))
         stack.extend(reversed(below))
 
 
-def shred(df: DataFrame, source_table: str, record_id: str, json_column: str, members: bool = True) -> DataFrame:
+def shred(df: DataFrame, source_table: str, record_id: str, json_column: str, members: bool = True, whole: bool = False) -> DataFrame:
     """Label every object of `json_column`; one row per object.
 
     Columns: NODE_SCHEMA, with `parent_dewey` in place of parent_depth: the
     label of the nearest enclosing object by truncation (null for the root
     object; below a root list the record itself is the parent, label []). With
     members=False the scalar members are left out, for queries that need
-    places only. Narrow: no shuffle, records are walked where they are read.
+    places only; with whole=True the listed scalars are rows too, and member
+    names have one spelling. Narrow: no shuffle, records are walked where they are read.
     """
 
     def walk(batches):
@@ -132,7 +171,9 @@ def shred(df: DataFrame, source_table: str, record_id: str, json_column: str, me
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in label_nodes(text.as_py(), members):
+                for row in label_nodes(text.as_py(), members, scalars=whole):
+                    if whole:
+                        row = (*row[:5], merge_spellings(row[5]), *row[6:])
                     for c, v in zip(columns, (source_table, key, *row)):
                         c.append(v)
                     if len(columns[0]) >= BATCH_ROWS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import nested
@@ -12,8 +12,8 @@ from sievework.sources.tables import table
 FIELDS = [("eval_case_result", "retrieved_chunks"), ("eval_case", "golden_chunks"), ("eval_run", "config_snapshot")]
 
 
-def _nodes(spark: SparkSession, sf_dir: str, members: bool) -> DataFrame:
-    parts = [nested.shred(table(spark, sf_dir, t), t, "id", c, members) for t, c in FIELDS]
+def _nodes(spark: SparkSession, sf_dir: str, members: bool, whole: bool = False) -> DataFrame:
+    parts = [nested.shred(table(spark, sf_dir, t), t, "id", c, members, whole) for t, c in FIELDS]
     nodes = parts[0].unionByName(parts[1]).unionByName(parts[2])
     # A record delivered twice has every node twice: labels identify them.
     return nodes.dropDuplicates(["source_table", "record_id", "dewey"])
@@ -29,15 +29,18 @@ def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dotted(label: str) -> Column:
+    return F.array_join(F.transform(label, lambda x: x.cast("string")), ".")
+
+
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list element with its own and its parent's label as dotted text."""
-    dotted = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
     return nested.list_elements(_nodes(spark, sf_dir, members=False)).select(
         "source_table",
         "record_id",
         "schema_path",
-        dotted(F.col("dewey")).alias("dewey"),
-        dotted(F.col("parent_dewey")).alias("parent_dewey"),
+        _dotted("dewey").alias("dewey"),
+        _dotted("parent_dewey").alias("parent_dewey"),
         "position",
     )
 
@@ -57,7 +60,49 @@ def p1_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_links, p1_retrieved)}
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all flat tables of the three fields, with all members; (source_table, schema_path) names the table.
+
+    Objects outside lists are rows too, as parents, and so are listed scalars. Schema paths and member names have one
+    spelling, `path` the record's. An empty parent_dewey is the root object, or the record if its root is a list; null: no parent.
+    """
+    return _nodes(spark, sf_dir, members=True, whole=True).select(
+        "source_table",
+        "record_id",
+        nested.merged_path("schema_path").alias("schema_path"),
+        nested.merged_path("parent_schema_path").alias("parent_schema_path"),
+        _dotted("dewey").alias("dewey"),
+        _dotted("parent_dewey").alias("parent_dewey"),
+        "path",
+        "position",
+        "members",
+    )
+
+
+#: Typed members of a chunk, in the merged spelling.
+CHUNK = {
+    "citation_index": "int", "document_id": "bigint", "chunk_index": "int", "content": "string", "similarity_score": "double", "keyword_score": "double",
+    "final_score": "double", "weight": "double", "retrieve_source": "string", "vector_retrieve_source": "string",
+}
+
+
+def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object with a document id as one typed table: all shapes and spellings of retrieved and golden chunks, alternatives included.
+
+    p1_retrieved is the part of it that its SQL twin defines: top-level elements in one spelling.
+    """
+    rows = p1_rows(spark, sf_dir).where("source_table <> 'eval_run' and map_contains_key(members, 'document_id')")
+    member = lambda k, t: F.try_element_at("members", F.lit(k)).try_cast(t)
+    return rows.select(
+        "source_table",
+        "record_id",
+        "path",
+        "position",
+        *[(F.round(member(k, t), 6) if t == "double" else member(k, t)).alias(k) for k, t in CHUNK.items()],
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_links, p1_retrieved, p1_rows, p1_chunks)}
 
 _NORM = """case when json_type({x}) = 'VARCHAR' and json_valid(json_extract_string({x}, '$'))
   and json_type(json_extract_string({x}, '$')) in ('ARRAY', 'OBJECT') then json_extract_string({x}, '$')::json else {x} end"""
@@ -75,8 +120,23 @@ walk as (
       when 'OBJECT' then list_transform(json_keys(node), lambda k: {{'s': '.' || k, 'v': json_extract(node, '$."' || k || '"'), 'e': false}}) end) as c
     from walk where json_type(node) in ('ARRAY', 'OBJECT')))
 """
+
+
+def _member_sql(name: str, kind: str) -> str:
+    first, *rest = name.split("_")
+    spelt = [name, first + "".join(w.capitalize() for w in rest)]
+    value = f"coalesce({', '.join(f"json_extract_string(node, '$.{k}')" for k in dict.fromkeys(spelt))})"
+    if kind == "string":
+        return f"{value} as {name}"
+    return f"round(try_cast({value} as double), 6) as {name}" if kind == "double" else f"try_cast({value} as {kind}) as {name}"
+
+
 ORACLE: dict[str, str] = {
     "p1_found": _WALK + "select source_table, record_id, path from walk where element and json_type(node) = 'OBJECT'",
+    "p1_chunks": _WALK
+    + r"select source_table, record_id, path, try_cast(regexp_extract(path, '\[(\d+)\]$', 1) as int) as position, "
+    + ", ".join(_member_sql(k, t) for k, t in CHUNK.items())
+    + " from walk where source_table <> 'eval_run' and json_type(node) = 'OBJECT' and (json_exists(node, '$.documentId') or json_exists(node, '$.document_id'))",
     "p1_retrieved": _WALK
     + r"""select record_id, regexp_extract(path, '(\d+)', 1)::int as position, try_cast(json_extract_string(node, '$.documentId') as bigint) as document_id,
   try_cast(json_extract_string(node, '$.chunkIndex') as int) as chunk_index, round(try_cast(json_extract_string(node, '$.similarityScore') as double), 6) as similarity,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import nested
+from sievework.plans import nested_queries
 
 
 def brute(value, path="$"):
@@ -69,3 +70,40 @@ def test_parents_by_truncation_and_tables(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, j string")
     assert nested.shred(df, "t", "id", "j").count() == 0
+
+
+def test_spellings_are_merged_without_loss():
+    assert nested.merge_spellings([("documentId", "1"), ("chunkIndex", None)]) == [("document_id", "1"), ("chunk_index", None)]
+    assert dict(nested.merge_spellings([("aB", "1"), ("a_b", "2")])) == {"a_b": "2", "aB": "1"}
+    assert dict(nested.merge_spellings([("a_b", None), ("aB", "1")])) == {"a_b": "1"}
+
+
+def test_rows_of_all_fields_with_values(spark, tmp_path):
+    records = {
+        "eval_case_result": ("retrieved_chunks", '{"groups":[{"via":"X","chunks":[{"document_id":7,"chunk_index":1,"spans":[{"start":0}]}]}],"notes":["n",null,{"code":7}]}'),
+        "eval_case": ("golden_chunks", '{"goldenChunks":[{"documentId":8,"chunkIndex":2,"weight":0.5}]}'),
+        "eval_run": ("config_snapshot", '{"filter":{"knowledgeBaseIds":[3,4]},"stages":[{"name":"s","fallbacks":[{"waitMs":5}]}]}'),
+    }
+    for t, (c, j) in records.items():
+        spark.createDataFrame([(1, j), (1, j)], f"id long, {c} string").write.parquet(f"{tmp_path}/{t}.parquet")  # delivered twice
+    rows = nested_queries.p1_rows(spark, str(tmp_path)).collect()
+    found = {(r["source_table"], r["schema_path"], r["position"]): r for r in rows}
+    assert len(found) == len(rows) == 14
+    values = {(t[5:], p, n): r["members"] for (t, p, n), r in found.items() if r["members"]}
+    assert values == {
+        ("case_result", "$.groups[]", 0): {"via": "X"},
+        ("case_result", "$.groups[].chunks[]", 0): {"document_id": "7", "chunk_index": "1"},
+        ("case_result", "$.groups[].chunks[].spans[]", 0): {"start": "0"},
+        ("case_result", "$.notes[]", 0): {"value": "n"},
+        ("case_result", "$.notes[]", 2): {"code": "7"},
+        ("case", "$.golden_chunks[]", 0): {"document_id": "8", "chunk_index": "2", "weight": "0.5"},
+        ("run", "$.filter.knowledge_base_ids[]", 0): {"value": "3"},
+        ("run", "$.filter.knowledge_base_ids[]", 1): {"value": "4"},
+        ("run", "$.stages[]", 0): {"name": "s"},
+        ("run", "$.stages[].fallbacks[]", 0): {"wait_ms": "5"},
+    }
+    labels = {(r["source_table"], r["dewey"]) for r in rows}
+    assert all(r["parent_dewey"] is None or (r["source_table"], r["parent_dewey"]) in labels for r in rows)
+    assert found["eval_run", "$.filter.knowledge_base_ids[]", 0]["parent_dewey"] == found["eval_run", "$.filter", None]["dewey"]
+    chunks = nested_queries.p1_chunks(spark, str(tmp_path)).collect()
+    assert {(r["path"], r["document_id"], r["chunk_index"]) for r in chunks} == {("$.groups[0].chunks[0]", 7, 1), ("$.goldenChunks[0]", 8, 2)}
