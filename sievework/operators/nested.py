@@ -206,13 +206,15 @@ def flat_table(nodes: DataFrame, schema_path: str, fields: dict[str, str]) -> Da
 
 
 def schema_tables(nodes: DataFrame) -> DataFrame:
-    """The tables the nodes fall into: rows, records and member names of each schema path."""
-    return (
-        nodes.withColumn("record", F.xxhash64("source_table", "record_id"))
-        .groupBy("source_table", "schema_path", "parent_schema_path")
-        .agg(
-            F.count("*").alias("rows"),
-            F.approx_count_distinct("record").alias("records"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("members"))))).alias("member_names"),
-        )
+    """The tables the nodes fall into: rows, records and member names of each schema path, all exact.
+
+    Each record is summed by itself first, so a hot schema path is no hot key.
+    """
+    keys = ["source_table", "schema_path", "parent_schema_path"]
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("names"))))
+    by_record = (
+        nodes.withColumn("names", F.map_keys("members"))
+        .groupBy(*keys, "record_id")
+        .agg(F.count("*").alias("rows"), names.alias("names"))
     )
+    return by_record.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.count("*").alias("records"), names.alias("member_names"))

@@ -107,3 +107,9 @@ def test_rows_of_all_fields_with_values(spark, tmp_path):
     assert found["eval_run", "$.filter.knowledge_base_ids[]", 0]["parent_dewey"] == found["eval_run", "$.filter", None]["dewey"]
     chunks = nested_queries.p1_chunks(spark, str(tmp_path)).collect()
     assert {(r["path"], r["document_id"], r["chunk_index"]) for r in chunks} == {("$.groups[0].chunks[0]", 7, 1), ("$.goldenChunks[0]", 8, 2)}
+
+
+def test_records_of_a_table_are_counted_exactly(spark):
+    df = spark.range(20_000).selectExpr("id", """'[{"a":1},{"b":2}]' as j""")
+    (row,) = nested.schema_tables(nested.shred(df, "t", "id", "j")).collect()
+    assert (row["rows"], row["records"], row["member_names"]) == (40_000, 20_000, ["a", "b"])
