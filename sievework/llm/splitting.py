@@ -11,7 +11,9 @@ again, character by character.
 
 Defined results: null and empty texts have no pieces; a text within the limit
 is one piece; a span without any boundary above the limit is cut between
-characters and marks the text as forced. Lengths count code points.
+characters, in steps that leave room for the whole overlap, and marks the text
+as forced; a span that fits the limit is never cut for the overlap's sake, so
+before one longer than limit - overlap less is repeated. Lengths count code points.
 """
 
 from __future__ import annotations
@@ -45,8 +47,12 @@ class Limits:
     overlap: int = 100
 
 
-def spans(text: str, limit: int) -> tuple[list[tuple[int, int]], bool]:
-    """Consecutive spans of at most `limit` characters, and whether a cut between characters was needed."""
+def spans(text: str, limit: int, overlap: int = 0) -> tuple[list[tuple[int, int]], bool]:
+    """Consecutive spans of at most `limit` characters, and whether a cut between characters was needed.
+
+    Cuts between characters come after limit - overlap of them.
+    """
+    step = max(1, limit - overlap)
     out: list[tuple[int, int]] = []
     forced = False
     todo = [(0, len(text), 0)]
@@ -67,8 +73,9 @@ def spans(text: str, limit: int) -> tuple[list[tuple[int, int]], bool]:
                 e -= 1
             if e - s > limit:
                 forced = True
-            for i in range(s, e, limit):
-                out.append((i, min(i + limit, e)))
+                out.extend((i, min(i + step, e)) for i in range(s, e, step))
+            elif s < e:
+                out.append((s, e))
             if e < m.end():
                 out.append((e, m.end()))
     return out, forced
@@ -80,7 +87,7 @@ def split(text: str | None, limits: Limits = Limits()) -> tuple[list[tuple[int,
         return [], False
     if len(text) <= limits.limit:
         return [(0, 0, len(text))], False
-    units, forced = spans(text, limits.limit)
+    units, forced = spans(text, limits.limit, limits.overlap)
     pieces = []
     start = new = end = 0
     for s, e in units:

@@ -198,6 +198,14 @@ def test_pieces_make_up_the_text():
     assert splitting.split(None) == ([], False)
 
 
+def test_pieces_cut_between_characters_overlap():
+    text = "".join(chr(0x4E00 + i % 5000) for i in range(2000))
+    pieces, forced = splitting.split(text)
+    assert forced and [n - a for a, n, _ in pieces] == [0, 100, 100]
+    assert "".join(text[n:e] for _, n, e in pieces) == text and all(e - a <= 800 for a, _, e in pieces)
+    assert splitting.split("x " + "y" * 750)[1] is False  # no cut inside a word that fits
+
+
 def test_numbered_pieces(spark):
     rows = [(1, 7, 0, "wort " * 300), (2, 7, 0, "x" * 900), (3, 8, 1, "short"), (4, None, None, None), (5, 9, 0, "y" * 800 + " ")]
     df = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, content string")
