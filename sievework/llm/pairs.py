@@ -3,8 +3,12 @@
 Evidence comes in three steps. Answers of one question are sorted by text and
 each is compared with its neighbour: an unfinished answer that its neighbour
 begins with is a shortened version. Lengths that far more answers have than
-the lengths around them are limits at which answers were cut. Then rules on
-the pair itself decide between empty, truncated, refusal, echo and language.
+the lengths around them are limits at which answers were cut. Both decide where
+the end of the text leaves it open, with neither an end mark nor a broken
+construct: such an answer is truncated if it is shortened or at a limit. Rules
+on the pair itself decide the rest, between empty, truncated, refusal, echo and
+language; an answer that ends with an end mark is not truncated by its
+neighbour or length alone.
 
 Defined results: a null answer is empty, whatever the question; without a
 question (null, blank or no such case) echo and language are not decided; at
@@ -192,6 +196,12 @@ def is_unfinished(answer: str) -> bool:
     return not (short and (re.search(r"\d", tail) or len(words) <= 2)) and not (_HAN.search(tail) and len(tail) <= 6)
 
 
+def is_open(answer: str) -> bool:
+    """The end of the text doesn't tell whether it is complete: no end mark and no closed code block."""
+    body = _CITATION.sub("", visible(answer)).rstrip(" \t\n*_|>\"'”’»」』)）]】}")
+    return not visible(answer).endswith("```") and body[-1:] not in tuple(".!?。！？…")
+
+
 def language(text: str) -> str | None:
     """en, de, fr, es or zh, None where the words don't tell."""
     plain = _QUOTED.sub(" ", _INLINE.sub(" ", _FENCE.sub(" ", visible(text))))
@@ -240,8 +250,7 @@ def defect_of(question: str | None, answer: str | None, message: str | None, sho
         return "echo"
     if is_refusal(answer):
         return "refusal"
-    unfinished = is_unfinished(answer)
-    if unfinished or (message and CUT_MESSAGE.search(message)) or ((shortened or at_limit) and unfinished):
+    if is_unfinished(answer) or (message and CUT_MESSAGE.search(message)) or ((shortened or at_limit) and is_open(answer)):
         return "truncated"
     if question and is_other_language(question, answer):
         return "language"

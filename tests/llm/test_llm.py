@@ -69,6 +69,13 @@ def test_defects(question, answer, message, defect):
     assert pairs.defect_of(question, answer, message, False, False) == defect
 
 
+def test_neighbour_and_limit_decide_open_ends():
+    for answer in ("Zeitplan 2024", "stage 12 of (the plan)"):
+        assert pairs.defect_of("q", answer, None, False, False) is None
+        assert pairs.defect_of("q", answer, None, True, False) == pairs.defect_of("q", answer, None, False, True) == "truncated"
+    assert pairs.defect_of("q", "The plan has twelve stages.", None, True, True) is None
+
+
 def test_shortened_versions_and_limits(spark):
     rows = [(1, LONG), (1, LONG + " of the day."), (2, LONG + " of the day."), (1, "short"), (1, None), (1, LONG)]
     df = spark.createDataFrame(rows, "case_id long, answer string")
