@@ -81,7 +81,7 @@ CUT_MESSAGE = re.compile(
     re.I,
 )
 
-#: Requests for an answer in a certain language, at the start or end of a question.
+#: Requests for an answer in a certain language.
 ASKED_LANGUAGE = {
     "en": r"auf\ englisch|en\ inglés|en\ anglais|in\ english|用英[语文]|请用英|以英[语文]",
     "de": r"in\ german|auf\ deutsch|en\ alemán|en\ allemand|用德[语文]|以德[语文]",
@@ -173,7 +173,7 @@ def is_unfinished(answer: str) -> bool:
         return True
     if body.endswith("```"):
         return False
-    tail = _CITATION.sub("", body[-4000:]).rstrip()
+    tail = _CITATION.sub("", body).rstrip()
     if re.search(r"\[\^?\d*$", tail):
         return True
     if not tail:
@@ -224,13 +224,15 @@ def language(text: str) -> str | None:
 
 
 def wanted_language(question: str) -> str | None:
-    """The language the question asks for, else its own."""
+    """The language the question asks for, anywhere in it and first of all, else its own.
+
+    A request is the name of a language and a word like "answer" within 60 characters.
+    """
     q = visible(question)
-    for part in (q[:60], q[-60:]) if len(q) > 60 else (q,):
-        if _REQUEST.search(part):
-            for l, pattern in _ASKED.items():
-                if pattern.search(part):
-                    return l
+    named = sorted((m.start(), m.end(), l) for l, pattern in _ASKED.items() for m in pattern.finditer(q))
+    for start, end, l in named:
+        if _REQUEST.search(q[max(0, end - 60) : start + 60]):
+            return l
     return language(q)
 
 

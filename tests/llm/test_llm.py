@@ -76,6 +76,17 @@ def test_neighbour_and_limit_decide_open_ends():
     assert pairs.defect_of("q", "The plan has twelve stages.", None, True, True) is None
 
 
+def test_rules_read_whole_texts():
+    long = "a complete sentence stands here. " * 200
+    assert not pairs.is_unfinished("{{{ " + long + "}}}")
+    assert not pairs.is_unfinished("`x " + long.replace("\n", " ") + "`")
+    filler = "The warm index keeps the old entries of the day. " * 3
+    question = filler + "Please answer in German. " + filler
+    assert pairs.wanted_language(question) == "de" and pairs.wanted_language(filler * 2) == "en"
+    far = filler + "The text is in German. " + filler + "Please answer."
+    assert pairs.wanted_language(far) == "en"
+
+
 def test_shortened_versions_and_limits(spark):
     rows = [(1, LONG), (1, LONG + " of the day."), (2, LONG + " of the day."), (1, "short"), (1, None), (1, LONG)]
     df = spark.createDataFrame(rows, "case_id long, answer string")
