@@ -51,9 +51,9 @@ MATH_ENVIRONMENTS = "equation align gather multline eqnarray displaymath math".s
 
 _TAGS = "|".join(sorted(HTML_TAGS, key=len, reverse=True))
 _TAG = re.compile(rf"<(/?)({_TAGS})((?:\s+[^<>]*)?)(/?)>", re.I)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>|\A[^<>]{0,200}?-->", re.S | re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>|\A[^<>]*?-->", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});", re.I)
-_TAG_LEFT = re.compile(r"\A(?:[^<>\n]{0,80}?[\w-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*')|[\w-]*=?\"[^\"<>\n]{0,80}\"|[^\s<>]{0,12}\")\s*/?>")
+_TAG_LEFT = re.compile(r"\A(?:[^<>\n]*?(?<![\w-])[\w-]++\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*')|[\w-]*=?\"[^\"<>\n]*\"|[^\s<>]*\")\s*/?>")
 _TAG_LEFT_NAME = re.compile(rf"\A/?(?:{_TAGS})>", re.I)
 _TAG_RIGHT = re.compile(r"<(/?)([a-z][a-z0-9]{0,11})((?:\s+[^<>]*)?)\Z|<(/|!-{0,2})\Z", re.I)
 _PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s]*|\\\\[\w.]+\\[^\s]*")
@@ -64,9 +64,9 @@ _MARKDOWN = re.compile(
       ^\ {0,3}\#{1,6}\ +\S
     | ^\ {0,3}(?:```|~~~)
     | (?<!`)`[^`\n]+`(?!`)
-    | (?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,400}?(?<=[^\s*])\*\*(?![\w*])
-    | (?<![\w*\\/])\*{1,3}(?=[^\s*])[^*\n]{1,400}?(?<=[^\s*\\])\*{1,3}(?![\w*])
-    | (?<![\w_\\/.])_{1,3}(?=[^\s_])(?!(?:NOTOC|TOC|[a-z]+)__(?=\W|\Z))[^_\n]{1,400}?(?<=[^\s_])_{1,3}(?![\w(])
+    | (?<![\w*\\])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])
+    | (?<![\w*\\/])\*{1,3}(?=[^\s*])[^*\n]+?(?<=[^\s*\\])\*{1,3}(?![\w*])
+    | (?<![\w_\\/.])_{1,3}(?=[^\s_])(?!(?:NOTOC|TOC|[a-z]+)__(?=\W|\Z))[^_\n]+?(?<=[^\s_])_{1,3}(?![\w(])
     | (?<![\w_])__(?=[^\s_])[^_\n]*\s[^_\n]*(?<=[^\s_])__(?!\w)
     | ~~(?=\S)[^~\n]+?(?<=\S)~~
     | !?\[[^\[\]\n]*\]\((?:[^()\s]+|<[^<>\n]*>)(?:\s+"[^"\n]*")?\)
@@ -82,7 +82,7 @@ _MARKDOWN = re.compile(
 _SETEXT = re.compile(r"(?m)^(?=\S)(?![|>#{}!=-]).*\S[ \t]*\n(?:={3,}|-{3,})[ \t]*$")
 _MD_ROW = re.compile(r"(?m)^\|(?![-}+])[^\n]*\|[^\n]*\|[ \t]*$")
 _MD_BULLET = re.compile(r"(?m)^ {0,3}[-+*] +\S")
-_MD_EDGE = re.compile(r"\A[^\[\]\n]{0,80}\]\([^()\s]+\)|!?\[[^\[\]\n]*\]\([^()\s]*\Z|(?m:^ {0,3}#{1,6}\Z)")
+_MD_EDGE = re.compile(r"\A[^\[\]\n]*\]\([^()\s]+\)|!?\[[^\[\]\n]*\]\([^()\s]*\Z|(?m:^ {0,3}#{1,6}\Z)")
 
 _WIKI = re.compile(
     r"""(?mx)
@@ -101,7 +101,7 @@ _WIKI = re.compile(
     """
 )
 _WIKI_MAGIC = re.compile(rf"__(?:{'|'.join(WIKI_WORDS)})__")
-_WIKI_EDGE = re.compile(r"\A[^\[\]\n]{1,80}\]\]|\[\[[^\[\]\n\d]*\Z|\A[^{}\n]{1,80}\}\}|\{\{[^{}\n]*\Z")
+_WIKI_EDGE = re.compile(r"\A[^\[\]\n]+\]\]|\[\[[^\[\]\n\d]*\Z|\A[^{}\n]+\}\}|\{\{[^{}\n]*\Z")
 
 _COMMANDS = "|".join(sorted(LATEX_COMMANDS, key=len, reverse=True))
 _LATEX = re.compile(

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -197,6 +198,20 @@ def test_clean_text_keeps_structure():
     assert markup.content_blocks([0, 30, 20, 0, 0, 0, 5]) == [False, True, True, False, False, False, False]
 
 
+def test_long_constructs_are_recognised():
+    long = "word " * 200 + "end"
+    for text in (f"**{long}**", f"*{long}*", f"_{long}_", f"{long}](http://x)"):
+        assert markup.kinds_of(text) == ["markdown"], text[:9]
+    for text in (f"{long} --> rest", f'alt {long} title="x"> rest', f'title="{long}"> rest', f'{"x" * 90}" > rest'):
+        assert markup.kinds_of(text) == ["html"], text[:9]
+    for text in (long + "]] rest", long + "}} rest"):
+        assert markup.kinds_of(text) == ["wiki"], text[-9:]
+    began = time.time()
+    for text in ("ab-" * 100_000 + ">", "*a" * 100_000, "**a " * 100_000, "_a " * 100_000, 'a="b" ' * 50_000 + ">"):
+        markup.kinds_of(text)
+    assert time.time() - began < 20
+
+
 def test_markup_column(spark):
     df = spark.createDataFrame([(1, "<p>x</p>"), (2, None), (3, "")], "id long, c string")
     got = {r["id"]: (r["m"]["kinds"], r["m"]["text"]) for r in df.select("id", markup.clean_text(F.col("c")).alias("m")).collect()}
