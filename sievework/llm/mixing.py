@@ -1,10 +1,13 @@
 """Mix sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of equal token size. Slot i takes the point
+The mix is a sequence of slots of nearly equal token size: each source's tokens
+are divided evenly into blocks of at most that size, and a source gets as many
+slots as its quota has blocks. Slot i takes the point
 frac((i + 1/2) / golden ratio), which is mapped through the cumulative weights
-to a source, so every stretch of the sequence has nearly the target shares.
+to a source, so every stretch of the sequence has nearly the target shares; the
+few last slots that a source has too many go to those that lack some.
 The slots of a source are ranked and read its blocks in turn: the source's
-texts, shuffled by a keyed hash, cut into blocks of a slot's tokens. After the
+texts, shuffled by a keyed hash, cut into its blocks. After the
 last block the source is repeated.
 
 A source that would have to be repeated more than its cap allows gives all it
@@ -90,13 +93,17 @@ class Plan:
 
     sized: what sized_texts() made; texts: doc_id, source, tokens and block of
     each text that may be used; shares: (source, target share, planned share,
-    cap, blocks) of each listed source; slots: length of the schedule.
+    cap, blocks) of each listed source; wanted: slots of each source that has any.
     """
 
     sized: DataFrame
     texts: DataFrame
     shares: list[tuple]
-    slots: int
+    wanted: dict[str, int]
+
+    @property
+    def slots(self) -> int:
+        return sum(self.wanted.values())
 
 
 def plan(documents: DataFrame, targets: DataFrame, path: str, mix: Mix = Mix()) -> Plan:
@@ -111,20 +118,20 @@ def plan(documents: DataFrame, targets: DataFrame, path: str, mix: Mix = Mix())
     first = mine.where("tokens > 0").groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d")).select("d.*")
     size = max(mix.slot_tokens, -(-total // mix.most_slots))
     texts = cut(_in_blocks(first, size, mix.seed))
-    sums = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("block") + 1).alias("blocks"))
-    supply = {r["source"]: (r["tokens"], r["blocks"]) for r in sums.collect()}
+    sums = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    supply = {r["source"]: (r["tokens"], -(-r["tokens"] // size)) for r in sums.collect()}
     caps = {s: float(supply.get(s, (0, 0))[0] * c) for s, (_, c) in goals.items()}
     quota = water_fill({s: w for s, (w, _) in goals.items()}, caps, float(total))
     filled = sum(quota.values())
-    slots = -(-int(filled) // size) if filled else 0
+    wanted = {s: round(q * supply[s][1] / supply[s][0]) for s, q in quota.items() if q > 0}
     rows = [
         (s, goals[s][0], quota[s] / filled if filled else 0.0, goals[s][1], supply.get(s, (0, 0))[1]) for s in sorted(goals)
     ]
-    return Plan(sized, texts, rows, slots)
+    return Plan(sized, texts, rows, {s: n for s, n in sorted(wanted.items()) if n})
 
 
 def _in_blocks(first: DataFrame, size: int, seed: int) -> DataFrame:
-    """Shuffle each source's texts and number the blocks by the tokens before each text.
+    """Shuffle each source's texts and number the blocks, of at most `size` tokens, by the tokens before each text.
 
     Running sums go over 4096 hash buckets of a source and inside each bucket,
     so no window holds a whole source.
@@ -133,20 +140,20 @@ def _in_blocks(first: DataFrame, size: int, seed: int) -> DataFrame:
     keyed = keyed.withColumn("_bucket", F.shiftright("_k", 51))
     sums = keyed.groupBy("source", "_bucket").agg(F.sum("tokens").alias("_sum"))
     over = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
+    whole = F.sum("_sum").over(Window.partitionBy("source"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0))).withColumn("_whole", whole).drop("_sum")
     inside = Window.partitionBy("source", "_bucket").orderBy("_k", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(sums, ["source", "_bucket"])
     start = F.col("_before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    return placed.select("doc_id", "source", "tokens", F.floor(start / size).cast("bigint").alias("block"))
+    return placed.select("doc_id", "source", "tokens", F.floor(start / (F.col("_whole") / F.ceil(F.col("_whole") / size))).alias("block"))
 
 
 def slot_sources(p: Plan, spark) -> DataFrame:
-    """(slot, source) of the whole schedule."""
-    ends, upto = [], 0.0
-    for s, _, share, _, blocks in p.shares:
-        if share > 0 and blocks:
-            upto += share
-            ends.append((s, upto))
+    """(slot, source) of the whole schedule, in which each source has just the slots it wants."""
+    ends, upto = [], 0
+    for s, n in p.wanted.items():
+        upto += n
+        ends.append((s, upto / p.slots))
     if not ends:
         return spark.createDataFrame([], "slot bigint, source string")
     x = (F.col("id") + 0.5) * GOLDEN
@@ -154,7 +161,17 @@ def slot_sources(p: Plan, spark) -> DataFrame:
     source = F.lit(ends[-1][0])
     for s, end in reversed(ends[:-1]):
         source = F.when(x < end, F.lit(s)).otherwise(source)
-    return spark.range(p.slots).select(F.col("id").alias("slot"), source.alias("source"))
+    slots = spark.range(p.slots).select(F.col("id").alias("slot"), source.alias("source"))
+    got = {r["source"]: r["count"] for r in slots.groupBy("source").count().collect()}
+    spare = []  # a few of each source, as the points are spread evenly
+    for s, n in p.wanted.items():
+        if got.get(s, 0) > n:
+            spare += [r["slot"] for r in slots.where(F.col("source") == s).orderBy(F.desc("slot")).limit(got[s] - n).collect()]
+    lacking = [s for s, n in p.wanted.items() for _ in range(n - got.get(s, 0))]
+    moved = F.col("source")
+    for s in dict.fromkeys(lacking):
+        moved = F.when(F.col("slot").isin([i for i, x in zip(sorted(spare), lacking) if x == s]), F.lit(s)).otherwise(moved)
+    return slots.withColumn("source", moved)
 
 
 def schedule(p: Plan, spark, stretch: int = 65536) -> DataFrame:

@@ -310,6 +310,18 @@ def test_mix_shares_and_caps(spark):
     assert mixing.usage(empty, spark).count() == 0
 
 
+def test_tiny_sources_get_their_quota(spark):
+    docs = [(i, f"text number {i} " * 30, "big") for i in range(100)] + [(1000, "tiny words " * 50, "tiny"), (1001, "more words " * 300, "small")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 1.0, 9), ("tiny", 1.0, 5), ("small", 1.0, 3)], "source string, target_weight double, max_repeats int")
+    p = mixing.plan(df, targets, BPE)
+    use = {r["doc_id"]: r for r in mixing.usage(p, spark).collect()}
+    assert use[1000]["tokens"] < 512 < use[1001]["tokens"]
+    assert (use[1000]["uses"], use[1001]["uses"]) == (5, 3)
+    read = Counter(r["source"] for r in mixing.slot_sources(p, spark).collect())
+    assert read == p.wanted and p.wanted["tiny"] == 5
+
+
 # --- repetition ----------------------------------------------------------------
 def test_repeated_share():
     s = "The cold cache rejects the stale index now. "
