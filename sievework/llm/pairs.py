@@ -1,14 +1,18 @@
 """Broken question and answer pairs: which answers are defective, and how.
 
-Evidence comes in three steps. Answers of one question are sorted by text and
-each is compared with its neighbour: an unfinished answer that its neighbour
-begins with is a shortened version. Lengths that far more answers have than
-the lengths around them are limits at which answers were cut. Both decide where
-the end of the text leaves it open, with neither an end mark nor a broken
-construct: such an answer is truncated if it is shortened or at a limit. Rules
-on the pair itself decide the rest, between empty, truncated, refusal, echo and
-language; an answer that ends with an end mark is not truncated by its
-neighbour or length alone.
+Evidence comes from the whole column first. Answers of one question are sorted
+by text and each is compared with its neighbour: one that its neighbour begins
+with is a shortened version. Lengths that far more answers have than the
+lengths around them are limits at which answers were cut. Sentences that stand
+in answers to many different questions are boilerplate, and an answer of
+nothing else tells nothing about its question.
+
+The end of the text is cut (a broken construct), closed (an end mark) or open
+(neither). A cut end is truncated. An open one is if it runs on as text does,
+or if the answer is shortened or at a limit, which decides short ends. A closed
+one is only if the answer is shortened and at a limit at once. Boilerplate only
+is a refusal, as are answers that decline by the listed phrases. Rules on the
+pair decide echo and language.
 
 Defined results: a null answer is empty, whatever the question; without a
 question (null, blank or no such case) echo and language are not decided; at
@@ -27,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.session import cut
+
 # --- Fixed values: words and phrases by which answers are recognised ---------
 
 #: Whole answers that stand for no answer.
@@ -116,6 +122,7 @@ _CITATION = re.compile(r"\[\^?\d+(?:\s*[,;-]\s*\d+)*\]|【\d+】")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|『[^』]*』|\"[^\"\n]*\"")
+_LIST_MARK = re.compile(r"\n[ \t]*(?:\(?\d{1,3}[.)、]|[*•-])\Z")
 _SENTENCE = re.compile(r"[^.!?。！？;；:：\n]+[.!?。！？;；:：]*")
 
 
@@ -167,14 +174,14 @@ def is_refusal(answer: str) -> bool:
 
 
 def is_unfinished(answer: str) -> bool:
-    """The text stops before a sentence, bracket, quotation or code block ends."""
+    """The text stops before a sentence, list item, bracket, quotation or code block ends."""
     body = visible(answer)
     if body.count("```") % 2:
         return True
     if body.endswith("```"):
         return False
     tail = _CITATION.sub("", body).rstrip()
-    if re.search(r"\[\^?\d*$", tail):
+    if re.search(r"\[\^?\d*$", tail) or _LIST_MARK.search(tail):
         return True
     if not tail:
         return False
@@ -244,15 +251,31 @@ def is_other_language(question: str, answer: str) -> bool:
     return asked is not None and asked != said
 
 
-def defect_of(question: str | None, answer: str | None, message: str | None, shortened: bool, at_limit: bool) -> str | None:
+def sentence_keys(answer: str | None) -> list[int]:
+    """64-bit keys of the answer's sentences that hold letters or digits, outside quotations; each once."""
+    from xxhash import xxh3_64_intdigest
+
+    body = _QUOTED.sub(" ", _CITATION.sub(" ", visible(answer)))
+    words = dict.fromkeys(filter(None, (letters_only(s.group()) for s in _SENTENCE.finditer(body))))
+    # a lone value or label is no boilerplate, however many share it
+    if not any(len(w) >= (10 if w.isascii() else 5) for w in words):
+        return []
+    return [xxh3_64_intdigest(w.encode("utf-8", "replace")) - (1 << 63) for w in words]
+
+
+def defect_of(
+    question: str | None, answer: str | None, message: str | None, shortened: bool, at_limit: bool, boilerplate: bool = False
+) -> str | None:
     """The defect of one pair, or None."""
     if is_empty(answer):
         return "empty"
     if question and is_echo(question, answer):
         return "echo"
-    if is_refusal(answer):
+    if boilerplate or is_refusal(answer):
         return "refusal"
-    if is_unfinished(answer) or (message and CUT_MESSAGE.search(message)) or ((shortened or at_limit) and is_open(answer)):
+    if is_unfinished(answer) or (message and CUT_MESSAGE.search(message)):
+        return "truncated"
+    if (shortened and at_limit) or ((shortened or at_limit) and is_open(answer)):
         return "truncated"
     if question and is_other_language(question, answer):
         return "language"
@@ -283,6 +306,28 @@ def length_limits(df: DataFrame, answer: str, factor: float = 8.0, least: int =
     return joined.where((F.col("n") >= least) & (F.col("n") > factor * usual) & (F.col("length") >= 100)).select("length")
 
 
+def boilerplate_answers(df: DataFrame, key: str, case: str, answer: str, many: int = 10, share: float = 0.001) -> DataFrame:
+    """(key) of the answers all of whose sentences stand in answers to many different questions.
+
+    Many are at least `many` and at least `share` of all questions. Counted
+    over all answers: distinct (sentence, question) first, so a sentence in a
+    third of all answers is summed before the shuffle. Answers with any other
+    sentence, and lone values, are none.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def keys(answers: pd.Series) -> pd.Series:
+        return pd.Series([sentence_keys(a) for a in answers], dtype=object)
+
+    said = cut(df.where(F.col(answer).isNotNull()).select(key, case, keys(F.col(answer)).alias("_k")).where(F.size("_k") > 0))
+    each = said.select(key, case, F.size("_k").alias("_n"), F.explode("_k").alias("_s"))
+    asked = said.select(case).distinct().agg(F.count("*")).scalar()
+    shared = each.select("_s", case).distinct().groupBy("_s").agg(F.count("*").alias("_m"))
+    shared = shared.where((F.col("_m") >= many) & (F.col("_m") >= share * asked))
+    found = each.join(shared.select("_s"), "_s").groupBy(key, "_n").agg(F.count("*").alias("_m"))
+    return found.where("_m = _n").select(key)
+
+
 def defective_pairs(results: DataFrame, cases: DataFrame) -> DataFrame:
     """(result_id, defect) of every defective result.
 
@@ -294,14 +339,14 @@ def defective_pairs(results: DataFrame, cases: DataFrame) -> DataFrame:
     )
     short = shortened_answers(results, "case_id", "answer").withColumn("shortened", F.lit(True))
     limits = length_limits(results, "answer").withColumn("at_limit", F.lit(True))
+    plain = boilerplate_answers(results, "id", "case_id", "answer").withColumn("boilerplate", F.lit(True))
     marked = asked.join(short, ["case_id", "answer"], "left").join(limits, F.length("answer") == F.col("length"), "left")
+    marked = marked.join(plain, "id", "left")
 
     @F.pandas_udf("string")
-    def defect(q: pd.Series, a: pd.Series, e: pd.Series, s: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([defect_of(*row) for row in zip(q, a, e, s, n)], dtype=object)
+    def defect(q: pd.Series, a: pd.Series, e: pd.Series, s: pd.Series, n: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([defect_of(*row) for row in zip(q, a, e, s, n, b)], dtype=object)
 
-    none = F.lit(False)
-    found = defect(
-        "question", "answer", "error_message", F.coalesce("shortened", none), F.coalesce("at_limit", none)
-    )
+    flags = [F.coalesce(c, F.lit(False)) for c in ("shortened", "at_limit", "boilerplate")]
+    found = defect("question", "answer", "error_message", *flags)
     return marked.select(F.col("id").alias("result_id"), found.alias("defect")).where("defect is not null")

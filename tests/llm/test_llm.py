@@ -57,6 +57,8 @@ LONG = "The shared cache rejects the stale index. The broker signs the log"
         ("Why does the cache fail?", LONG, None, "truncated"),
         ("Why does the cache fail?", LONG + ".", "finish reason length", "truncated"),
         ("Why does the cache fail?", LONG + ". The causes are:", None, "truncated"),
+        ("Why does the cache fail?", "1. " + LONG + ".\n2.", None, "truncated"),
+        ("Why does the cache fail?", "1. " + LONG + ".\n2. It is full in region 3.", None, None),
         ("Why does the cache fail?", LONG + ".\n```\nset a=1", None, "truncated"),
         ("Why does the cache fail?", LONG + ".\n```\nset a=1\n```", "judge skipped: slow model", None),
         ("Why does the cache fail?", "Der kalte Speicher füllt den Puffer und die Sperre ist voll.", None, "language"),
@@ -70,11 +72,52 @@ def test_defects(question, answer, message, defect):
     assert pairs.defect_of(question, answer, message, False, False) == defect
 
 
-def test_neighbour_and_limit_decide_open_ends():
-    for answer in ("Zeitplan 2024", "stage 12 of (the plan)"):
-        assert pairs.defect_of("q", answer, None, False, False) is None
-        assert pairs.defect_of("q", answer, None, True, False) == pairs.defect_of("q", answer, None, False, True) == "truncated"
-    assert pairs.defect_of("q", "The plan has twelve stages.", None, True, True) is None
+@pytest.mark.parametrize("shortened", [False, True])
+@pytest.mark.parametrize("at_limit", [False, True])
+@pytest.mark.parametrize("boilerplate", [False, True])
+def test_evidence_decides(shortened, at_limit, boilerplate):
+    def defect(answer):
+        return pairs.defect_of("q", answer, None, shortened, at_limit, boilerplate)
+
+    refused = "refusal" if boilerplate else None
+    for answer in ("Zeitplan 2024", "stage 12 of (the plan)"):  # open ends
+        assert defect(answer) == (refused or ("truncated" if shortened or at_limit else None))
+    assert defect("The plan has twelve stages.") == (refused or ("truncated" if shortened and at_limit else None))
+    assert defect(LONG) == (refused or "truncated") and defect("...") == "empty"
+
+
+def _planted(spark):
+    """Cases that only neighbours, only length limits, or only boilerplate can show."""
+    words = "amber birch cedar delta ember flint grove heath inlet jetty knoll larch".split()
+    rows = [(1, "Hirsagon stage 12345", None), (1, "Hirsagon stage 12345 is closed by the gate at night.", None)]
+    rows += [(2 + i, f"The {w} gate is closed by the {v} valve at night {'x' * (40 + i)}.", None) for i, (w, v) in enumerate(zip(words, words[1:]))]
+    rows += [(40 + i, "12345678 " * 12 + f"({i:02d}abcde)", None) for i in range(40)]  # all of one length
+    rows += [(100 + i, "Ask the keeper of the tower. The tower is not mine to speak of.", None) for i in range(12)]
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "id long, case_id long, answer string, error_message string")
+
+
+def test_each_step_of_the_evidence_changes_the_result(spark, monkeypatch):
+    results = _planted(spark)
+    cases = spark.createDataFrame([(i, "Which gate is it?") for i in range(200)], "id long, question string")
+    full = {(r["result_id"], r["defect"]) for r in pairs.defective_pairs(results, cases).collect()}
+    assert (0, "truncated") in full and sum(d == "refusal" for _, d in full) == 12 and sum(d == "truncated" for _, d in full) == 41
+    none = {
+        "shortened_answers": lambda df, *a: df.select("case_id", "answer").limit(0),
+        "length_limits": lambda df, *a: df.selectExpr("length(answer) as length").limit(0),
+        "boilerplate_answers": lambda df, *a: df.select("id").limit(0),
+    }
+    for step, lost in (("shortened_answers", 1), ("length_limits", 40), ("boilerplate_answers", 12)):
+        with monkeypatch.context() as m:
+            m.setattr(pairs, step, none[step])
+            less = {(r["result_id"], r["defect"]) for r in pairs.defective_pairs(results, cases).collect()}
+        assert less < full and len(full) - len(less) == lost, step
+
+
+def test_boilerplate_needs_many_questions(spark):
+    rows = [(i, i % 3, "Ask the keeper of the tower.") for i in range(30)] + [(50 + i, i, "192 ms") for i in range(30)] + [(90, 9, None), (91, 9, "")]
+    df = spark.createDataFrame(rows, "id long, case_id long, answer string")
+    assert pairs.boilerplate_answers(df, "id", "case_id", "answer").count() == 0
+    assert pairs.boilerplate_answers(df, "id", "case_id", "answer", many=3).count() == 30
 
 
 def test_rules_read_whole_texts():
