@@ -155,10 +155,6 @@ def p9_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_mix(spark, sf_dir), spark)
 
 
-def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
-
-
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that mostly say what they said before: within the tokens' bound, then by passages."""
     rows = spread(table(spark, sf_dir, "documents"))
@@ -167,9 +163,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated share and tokeniser fertility of every document."""
-    r = _repetition(spark, sf_dir)
+    r = repetition.repetition(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     measures = ["entropy_loss", "repeated_share", "chars_per_token", "byte_share", "token_entropy"]
-    return r.select("doc_id", *[F.round(c, 6).alias(c) for c in measures], "n_tokens", "in_band")
+    return r.select("doc_id", *[F.round(c, 6).alias(c) for c in measures], "n_tokens", "script", "in_band")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_shortened, p4_found, p4_neighbours, p5_found, p5_ranking, p5_score_ranks, p6_found, p6_clean, p7_found, p7_pieces, p7_lengths, p8_ids, p8_round_trip, p9_usage, p9_shares, p9_schedule, p10_found, p10_shares)}

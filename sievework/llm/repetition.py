@@ -1,21 +1,25 @@
 """Repetition inside a single document.
 
-Two measures of each document. Tokeniser fertility: a public vocabulary with
-byte fallback gives characters per token, the share of byte-fallback tokens
-and the entropy of the tokens, which are compared with rejection bands per
-language; they tell broken or monotonous text but not which part of it is
-repeated. They do bound it: every character of a repeated word lies in a token
-that occurs twice, so the entropy that the document's words lose against all
-tokens being different, weighted by characters (`entropy_loss`), is at least
-the repeated share in bits. Documents below the bound need no further look.
-For the others passages decide: the document's words without case, digits,
-punctuation and spacing, in passages of five words or ten Chinese characters;
-a passage that stood before marks its words, and the share is the marked
-characters among all characters of words.
-
-Defined results: null, empty and wordless texts have share 0, no characters
-per token and entropy 0; a document shorter than one passage has share 0.
-Memory of a text grows with its length only; documents are never compared.
+Tokeniser fertility first: a public vocabulary with byte fallback gives
+characters per token, the share of byte-fallback tokens and the entropy of the
+tokens, which are compared with rejection bands of the text's own script; they
+tell broken or monotonous text but not which part of it is repeated. They do
+bound it: every character of a repeated word lies in a token that occurs twice,
+so the entropy that the document's words lose against all tokens being
+different, weighted by characters (`entropy_loss`), is at least the repeated
+share in bits. Documents below the bound need no further look. For the others
+passages decide: the document's words without case, digits, punctuation and
+spacing, in passages of five words or ten Chinese characters; a passage that
+stood before marks its words, and the share is the marked characters among all
+characters of words.
+
+Words are tokenised one by one and remembered, in a memory of a bounded number
+of words, so a text costs little more than finding its words.
+
+Defined results: null, empty and wordless texts have share 0; without tokens
+there are no characters per token and the entropy is 0; a document shorter than
+one passage has share 0; texts under 64 tokens are within every band. Memory of
+a text grows with its length only; documents are never compared.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -36,18 +41,22 @@ PIECES = "piece_bpe_32k.model"
 PASSAGE = 10
 #: Share of repeated text from which a document is rejected.
 REPEATED = 0.4
-# --- Fixed values: rejection bands (lowest and highest characters per token,
-# highest byte-fallback share, lowest entropy per token in bits from 64 tokens on)
+# --- Fixed values: rejection bands by script (lowest and highest characters per
+# token, highest byte-fallback share, lowest entropy per token in bits)
 BANDS = {
-    "en": (2.0, 8.0, 0.05, 3.5),
-    "de": (1.5, 7.0, 0.05, 3.5),
-    "fr": (1.5, 7.0, 0.05, 3.5),
-    "es": (1.5, 7.0, 0.05, 3.5),
-    "zh": (0.3, 2.5, 0.75, 3.5),
-    None: (0.3, 8.0, 0.75, 3.0),
+    "latin": (1.5, 8.0, 0.05, 3.5),
+    "han": (0.3, 2.5, 0.75, 3.5),
+    "other": (0.3, 8.0, 0.75, 3.0),
 }
 # --------------------------------------------------------------------------------
 
+#: Tokens from which a text has to lie within the bands.
+LEAST_TOKENS = 64
+#: Words whose tokens a worker remembers, and the longest of them.
+MOST_WORDS, LONGEST_WORD = 200_000, 40
+
+_IDEOGRAPH = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+_LATIN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ɏ]")
 _UNIT = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]|[^\\W\\d_぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+")
 
 
@@ -76,29 +85,56 @@ def repeated_share(text: str | None) -> float:
 
 def share_of(units: list[str]) -> float:
     """The share among given words and Chinese characters."""
-    n = len(units)
-    total = sum(map(len, units))
-    if not total:
+    joined = "".join(units)
+    if not joined:
         return 0.0
-    number: dict[str, int] = {}
-    ids = [number.setdefault(u, len(number)) for u in units]
-    weight = [1 if _is_ideograph(u) else 2 for u in units]
-    seen: set[tuple[int, ...]] = set()
+    n = len(units)
+    if not _IDEOGRAPH.search(joined):
+        spans = _even_spans(units, PASSAGE // 2)
+    elif n == len(joined) and not _IDEOGRAPH.sub("", joined):
+        spans = _even_spans(units, PASSAGE)
+    else:
+        spans = _uneven_spans(units)
     covered = bytearray(n)
-    end, load = 0, 0
-    for start in range(n):
-        while end < n and load < PASSAGE:
+    for start, end in spans:
+        covered[start:end] = b"\1" * (end - start)
+    return sum(len(u) for u, c in zip(units, covered) if c) / len(joined)
+
+
+def _even_spans(units: list[str], width: int) -> list[tuple[int, int]]:
+    """Passages of `width` units that stood before."""
+    passages = list(zip(*(units[i:] for i in range(width))))
+    if len(set(passages)) == len(passages):
+        return []
+    seen: set[tuple[str, ...]] = set()
+    spans = []
+    for at, passage in enumerate(passages):
+        if passage in seen:
+            spans.append((at, at + width))
+        else:
+            seen.add(passage)
+    return spans
+
+
+def _uneven_spans(units: list[str]) -> list[tuple[int, int]]:
+    """Passages that stood before, in a mix of words and Chinese characters."""
+    weight = [1 if _is_ideograph(u) else 2 for u in units]
+    seen: set[tuple[str, ...]] = set()
+    spans = []
+    end = load = 0
+    for start in range(len(units)):
+        while end < len(units) and load < PASSAGE:
             load += weight[end]
             end += 1
         if load < PASSAGE:
             break
-        passage = tuple(ids[start:end])
+        passage = tuple(units[start:end])
         if passage in seen:
-            covered[start:end] = b"\1" * (end - start)
+            spans.append((start, end))
         else:
             seen.add(passage)
         load -= weight[start]
-    return sum(len(u) for u, c in zip(units, covered) if c) / total
+    return spans
 
 
 @lru_cache(maxsize=2)
@@ -110,29 +146,46 @@ def _pieces(path: str):
     return model, fallback
 
 
+@lru_cache(maxsize=2)
+def _remembered(path: str) -> dict[str, list[int]]:
+    return {}
+
+
+def token_counts(words: Iterable[str], path: str) -> Counter[int]:
+    """How often each token occurs in the words, each tokenised on its own."""
+    model, _ = _pieces(path)
+    known = _remembered(path)
+    counts: Counter[int] = Counter()
+    for word, n in Counter(words).items():
+        ids = known.get(word)
+        if ids is None:
+            ids = model.encode(word, num_threads=1)
+            if len(word) <= LONGEST_WORD:
+                if len(known) >= MOST_WORDS:
+                    known.clear()
+                known[word] = ids
+        for i in ids:
+            counts[i] += n
+    return counts
+
+
 def fertility(text: str | None, path: str) -> tuple[float | None, float, float, int]:
-    """(characters per token, share of byte-fallback tokens, token entropy in bits, tokens)."""
-    if not text:
+    """(characters per token, share of byte-fallback tokens, token entropy in bits, tokens) of the text but its blanks."""
+    words = text.split() if text else []
+    counts = token_counts(words, path)
+    n = sum(counts.values())
+    if not n:
         return None, 0.0, 0.0, 0
-    model, fallback = _pieces(path)
-    ids = model.encode(text, num_threads=1)
-    if not ids:
-        return None, 0.0, 0.0, 0
-    counts = Counter(ids)
-    n = len(ids)
+    _, fallback = _pieces(path)
     entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
-    return len(text) / n, sum(c for i, c in counts.items() if i in fallback) / n, entropy + 0.0, n
+    return sum(map(len, words)) / n, sum(c for i, c in counts.items() if i in fallback) / n, entropy + 0.0, n
 
 
 def entropy_loss(units: list[str], path: str) -> float:
     """Bits by which the words' tokens fall short of all being different, per character."""
-    if not units:
-        return 0.0
-    model, _ = _pieces(path)
-    counts = Counter(model.encode(" ".join(units), num_threads=1))
     sizes = _piece_sizes(path)
     total = loss = 0.0
-    for i, c in counts.items():
+    for i, c in token_counts(units, path).items():
         n = sizes[i] * c
         total += n
         if c > 1:
@@ -147,56 +200,57 @@ def _piece_sizes(path: str) -> list[int]:
     return [1 if i in fallback else len(model.id_to_piece(i).replace("▁", "")) for i in range(model.get_piece_size())]
 
 
-def in_band(measures: tuple, lang: str | None) -> bool:
-    """Whether the measures lie within the language's bands; texts under 64 tokens always do."""
+def script_of(units: list[str]) -> str:
+    """latin, han or other: what most of the words' characters are."""
+    joined = "".join(units)
+    if joined.isascii():
+        return "latin"
+    if len(_IDEOGRAPH.findall(joined)) * 2 > len(joined):
+        return "han"
+    return "latin" if len(_LATIN.findall(joined)) * 2 > len(joined) else "other"
+
+
+def in_band(measures: tuple, script: str) -> bool:
+    """Whether the measures lie within the script's bands; texts under LEAST_TOKENS tokens always do."""
     per_token, bytes_share, entropy, n = measures
-    if n < 64:
+    if n < LEAST_TOKENS:
         return True
-    key = (lang or "")[:2].lower()
-    low, high, most_bytes, least_entropy = BANDS.get(key, BANDS[None])
+    low, high, most_bytes, least_entropy = BANDS[script]
     return low <= per_token <= high and bytes_share <= most_bytes and entropy >= least_entropy
 
 
-def measures_of(text: Column, lang: Column, path: str) -> Column:
-    """struct(entropy_loss, repeated_share, chars_per_token, byte_share, token_entropy, n_tokens, in_band) of each text."""
-    columns = ["entropy_loss", "repeated_share", "chars_per_token", "byte_share", "token_entropy", "n_tokens", "in_band"]
+_MEASURES = {
+    "entropy_loss": "double", "repeated_share": "double", "chars_per_token": "double", "byte_share": "double",
+    "token_entropy": "double", "n_tokens": "bigint", "script": "string", "in_band": "boolean",
+}
+
+
+def measures_of(text: Column, path: str, least: float = 0.0) -> Column:
+    """struct of _MEASURES of each text. repeated_share is 0 where the tokens' bound is below `least`."""
 
-    @F.pandas_udf(
-        "entropy_loss double, repeated_share double, chars_per_token double, byte_share double, token_entropy double, "
-        "n_tokens bigint, in_band boolean"
-    )
-    def run(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(", ".join(f"{c} {t}" for c, t in _MEASURES.items()))
+    def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, l in zip(texts, langs):
+        for t in texts:
             units = units_of(t) if t else []
-            m = fertility(t, path)
-            rows.append((entropy_loss(units, path), share_of(units), *m, in_band(m, l)))
-        return pd.DataFrame(rows, columns=columns)
+            bound, m, script = entropy_loss(units, path), fertility(t, path), script_of(units)
+            rows.append((bound, share_of(units) if bound >= least else 0.0, *m, script, in_band(m, script)))
+        return pd.DataFrame(rows, columns=list(_MEASURES))
 
-    return run(text, lang)
+    return run(text)
 
 
-def repetition(df: DataFrame, key: str, text: str, lang: str, path: str | None = None) -> DataFrame:
-    """(key, repeated_share, fertility measures, in_band) of each document; narrow, no shuffle."""
-    found = df.select(key, measures_of(F.col(text), F.col(lang), path or place_of(PIECES)).alias("m"))
+def repetition(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, repeated_share, fertility measures, script, in_band) of each document; narrow, no shuffle."""
+    found = df.select(key, measures_of(F.col(text), path or place_of(PIECES)).alias("m"))
     return found.select(key, "m.*")
 
 
 def repeated_documents(df: DataFrame, key: str, text: str, least: float = REPEATED, path: str | None = None) -> DataFrame:
-    """(key, entropy_loss, repeated_share) of the documents whose repeated share is at least `least`.
+    """The rows of repetition() of the documents whose repeated share is at least `least`.
 
     The tokens' bound comes first, passages are compared only where it allows
     the share; as it is never below the share, no document is missed.
     """
-    place = path or place_of(PIECES)
-
-    @F.pandas_udf("entropy_loss double, repeated_share double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            units = units_of(t) if t else []
-            bound = entropy_loss(units, place)
-            rows.append((bound, share_of(units) if bound >= least else 0.0))
-        return pd.DataFrame(rows, columns=["entropy_loss", "repeated_share"])
-
-    return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*").where(F.col("repeated_share") >= least)
+    found = df.select(key, measures_of(F.col(text), path or place_of(PIECES), least).alias("m")).select(key, "m.*")
+    return found.where(F.col("repeated_share") >= least)

@@ -388,12 +388,46 @@ def test_entropy_bound_and_fertility():
     assert per > 2 and fallback == 0.0 and entropy > 1 and n >= 4
     assert repetition.fertility(None, path) == (None, 0.0, 0.0, 0)
     assert repetition.fertility("\U0001f9ea\U0001f9ea", path)[1] > 0
-    assert repetition.in_band(repetition.fertility("x " * 500, path), "en") is False
+    assert repetition.in_band(repetition.fertility("x " * 500, path), "latin") is False
+
+
+def test_bands_follow_the_script():
+    scripts = {"The cache is full": "latin", "Größe für Straßen": "latin", "缓存索引失效 cache": "han", "кэш полон": "other", "": "latin"}
+    for text, script in scripts.items():
+        assert repetition.script_of(repetition.units_of(text)) == script, text
+    assert repetition.in_band((2.0, 0.0, 9.0, 200), "han") and not repetition.in_band((1.2, 0.0, 9.0, 200), "latin")
+    assert repetition.in_band((9.0, 1.0, 0.0, repetition.LEAST_TOKENS - 1), "latin")
+
+
+def test_shares_of_words_and_characters_equal_brute_force():
+    random.seed(9)
+    for letters in (["ab", "cd", "ef"], list("缓存索"), ["ab", "cd", "缓", "存", "索"]):
+        for _ in range(300):
+            units = [random.choice(letters) for _ in range(random.randint(0, 40))]
+            size = lambda u: 1 if len(u) == 1 else 2
+            passages, marked = [], set()
+            for i in range(len(units)):
+                ends = [j for j in range(i + 1, len(units) + 1) if sum(map(size, units[i:j])) >= repetition.PASSAGE]
+                if ends:
+                    if units[i : ends[0]] in passages:
+                        marked |= set(range(i, ends[0]))
+                    passages.append(units[i : ends[0]])
+            total = sum(map(len, units))
+            assert repetition.share_of(units) == pytest.approx(sum(len(units[i]) for i in marked) / total if total else 0.0)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    path = tokenizer.place_of(repetition.PIECES)
+    monkeypatch.setattr(repetition, "MOST_WORDS", 3)
+    words = "one two three four five six one".split()
+    model, _ = repetition._pieces(path)
+    assert repetition.token_counts(words, path) == Counter(i for w in words for i in model.encode(w))
+    assert len(repetition._remembered(path)) <= 3
 
 
 def test_repetition_column(spark):
-    df = spark.createDataFrame([(1, "ab cd ef gh ij kl mn. " * 3, "en"), (2, None, None), (3, "", "zz")], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["repeated_share"] for r in repetition.repetition(df, "doc_id", "text", "lang").collect()}
+    df = spark.createDataFrame([(1, "ab cd ef gh ij kl mn. " * 3, "en"), (2, None, None), (3, "", "zz")], "doc_id long, text string, script string")
+    got = {r["doc_id"]: r["repeated_share"] for r in repetition.repetition(df, "doc_id", "text").collect()}
     assert got[1] == pytest.approx(2 / 3) and got[2] == 0.0 and got[3] == 0.0
 
 
@@ -406,7 +440,7 @@ def test_empty_and_null_inputs(spark):
     odd = spark.createDataFrame([(1, "word word", "x", 3)], "id long, term string, tf string, n int")
     assert [(r["term"], r["tf"]) for r in distinctive.distinctive_terms(odd, "id", "term").collect()] == [("word", 2)]
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
-    assert repetition.repetition(docs, "doc_id", "text", "lang").count() == 0
+    assert repetition.repetition(docs, "doc_id", "text").count() == 0
     assert repetition.repeated_documents(docs, "doc_id", "text").count() == 0
     assert docs.select(tokenizer.token_ids(F.col("text"), BPE)).count() == 0
     assert docs.select(markup.clean_text(F.col("text"))).count() == 0
