@@ -1,7 +1,7 @@
 """Repetition inside a single document.
 
-Tokeniser fertility first: a public vocabulary with byte fallback gives
-characters per token, the share of byte-fallback tokens and the entropy of the
+Tokeniser fertility first: a public vocabulary with byte fallback gives, of the
+document's words, characters per token, the share of byte-fallback tokens and the entropy of the
 tokens, which are compared with rejection bands of the text's own script; they
 tell broken or monotonous text but not which part of it is repeated. They do
 bound it: every character of a repeated word lies in a token that occurs twice,
@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -56,6 +56,7 @@ LEAST_TOKENS = 64
 MOST_WORDS, LONGEST_WORD = 200_000, 40
 
 _IDEOGRAPH = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+_ASCII_WORD = re.compile("[a-z]+")
 _LATIN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ɏ]")
 _UNIT = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]|[^\\W\\d_぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+")
 
@@ -69,7 +70,9 @@ def _unseen():
 
 def units_of(text: str) -> list[str]:
     """The words and Chinese characters of a text, without what doesn't count."""
-    if not text.isascii() and not text.isprintable():
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    if not text.isprintable():
         text = _unseen().sub("", text)
     return _UNIT.findall(text.lower())
 
@@ -89,7 +92,7 @@ def share_of(units: list[str]) -> float:
     if not joined:
         return 0.0
     n = len(units)
-    if not _IDEOGRAPH.search(joined):
+    if joined.isascii() or not _IDEOGRAPH.search(joined):
         spans = _even_spans(units, PASSAGE // 2)
     elif n == len(joined) and not _IDEOGRAPH.sub("", joined):
         spans = _even_spans(units, PASSAGE)
@@ -169,28 +172,26 @@ def token_counts(words: Iterable[str], path: str) -> Counter[int]:
     return counts
 
 
-def fertility(text: str | None, path: str) -> tuple[float | None, float, float, int]:
-    """(characters per token, share of byte-fallback tokens, token entropy in bits, tokens) of the text but its blanks."""
-    words = text.split() if text else []
-    counts = token_counts(words, path)
-    n = sum(counts.values())
-    if not n:
-        return None, 0.0, 0.0, 0
-    _, fallback = _pieces(path)
-    entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
-    return sum(map(len, words)) / n, sum(c for i, c in counts.items() if i in fallback) / n, entropy + 0.0, n
-
-
-def entropy_loss(units: list[str], path: str) -> float:
-    """Bits by which the words' tokens fall short of all being different, per character."""
-    sizes = _piece_sizes(path)
-    total = loss = 0.0
-    for i, c in token_counts(units, path).items():
-        n = sizes[i] * c
-        total += n
+def fertility(words: list[str], path: str) -> tuple[float, float | None, float, float, int]:
+    """(entropy loss, characters per token, share of byte-fallback tokens, token entropy in bits, tokens) of the words.
+
+    The entropy loss is what the tokens fall short of all being different, in bits per character.
+    """
+    sizes, (_, fallback) = _piece_sizes(path), _pieces(path)
+    chars = n = from_bytes = 0
+    loss = spent = 0.0
+    for i, c in token_counts(words, path).items():
+        n += c
+        chars += sizes[i] * c
+        if i in fallback:
+            from_bytes += c
         if c > 1:
-            loss += n * math.log2(c)
-    return loss / total if total else 0.0
+            bits = c * math.log2(c)
+            spent += bits
+            loss += sizes[i] * bits
+    if not n:
+        return 0.0, None, 0.0, 0.0, 0
+    return loss / chars if chars else 0.0, sum(map(len, words)) / n, from_bytes / n, math.log2(n) - spent / n + 0.0, n
 
 
 @lru_cache(maxsize=2)
@@ -205,12 +206,12 @@ def script_of(units: list[str]) -> str:
     joined = "".join(units)
     if joined.isascii():
         return "latin"
-    if len(_IDEOGRAPH.findall(joined)) * 2 > len(joined):
+    if len(_IDEOGRAPH.sub("", joined)) * 2 < len(joined):
         return "han"
-    return "latin" if len(_LATIN.findall(joined)) * 2 > len(joined) else "other"
+    return "latin" if len(_LATIN.sub("", joined)) * 2 < len(joined) else "other"
 
 
-def in_band(measures: tuple, script: str) -> bool:
+def in_band(measures: Sequence, script: str) -> bool:
     """Whether the measures lie within the script's bands; texts under LEAST_TOKENS tokens always do."""
     per_token, bytes_share, entropy, n = measures
     if n < LEAST_TOKENS:
@@ -233,7 +234,7 @@ def measures_of(text: Column, path: str, least: float = 0.0) -> Column:
         rows = []
         for t in texts:
             units = units_of(t) if t else []
-            bound, m, script = entropy_loss(units, path), fertility(t, path), script_of(units)
+            (bound, *m), script = fertility(units, path), script_of(units)
             rows.append((bound, share_of(units) if bound >= least else 0.0, *m, script, in_band(m, script)))
         return pd.DataFrame(rows, columns=list(_MEASURES))
 
