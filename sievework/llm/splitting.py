@@ -1,19 +1,20 @@
 """Cut oversized texts at natural boundaries, with overlap.
 
 Separators form a hierarchy: section, paragraph, line, sentence, word,
-character. A span above the limit is cut at the coarsest separators it has and
-what is still too long at the next finer ones; the spans are then packed
-greedily up to the limit, and each piece but the first repeats the end of the
-one before, from a word boundary where the overlap holds one.
+character. A span above the limit less the overlap is cut at the coarsest
+separators it has and what is still too long at the next finer ones; the spans
+are then packed greedily up to the limit, and each piece but the first repeats
+the end of the one before, from the first word boundary within the overlap.
 
 Pieces are slices of the text: without their overlaps they make up the text
 again, character by character.
 
 Defined results: null and empty texts have no pieces; a text within the limit
-is one piece; a span without any boundary above the limit is cut between
-characters, in steps that leave room for the whole overlap, and marks the text
-as forced; a span that fits the limit is never cut for the overlap's sake, so
-before one longer than limit - overlap less is repeated. Lengths count code points.
+is one piece; a word above the limit is cut between characters, in steps that
+leave room for the whole overlap, and marks the text as forced; a word that fits
+the limit is never cut for the overlap's sake, so only before one longer than
+limit - overlap less is repeated; where the overlap lies inside one word, a
+piece that starts at a boundary repeats nothing. Lengths count code points.
 """
 
 from __future__ import annotations
@@ -48,9 +49,9 @@ class Limits:
 
 
 def spans(text: str, limit: int, overlap: int = 0) -> tuple[list[tuple[int, int]], bool]:
-    """Consecutive spans of at most `limit` characters, and whether a cut between characters was needed.
+    """Consecutive spans, and whether a cut between characters was needed.
 
-    Cuts between characters come after limit - overlap of them.
+    Spans have at most limit - overlap characters, single words up to `limit`.
     """
     step = max(1, limit - overlap)
     out: list[tuple[int, int]] = []
@@ -58,7 +59,7 @@ def spans(text: str, limit: int, overlap: int = 0) -> tuple[list[tuple[int, int]
     todo = [(0, len(text), 0)]
     while todo:
         a, b, level = todo.pop()
-        if b - a <= limit:
+        if b - a <= step:
             if b > a:
                 out.append((a, b))
             continue

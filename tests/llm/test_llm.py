@@ -282,6 +282,27 @@ def test_pieces_cut_between_characters_overlap():
     assert splitting.split("x " + "y" * 750)[1] is False  # no cut inside a word that fits
 
 
+def test_every_piece_repeats_the_end_of_the_one_before():
+    random.seed(2)
+    limits = splitting.Limits(80, 15)
+    for _ in range(1500):
+        words = ["".join(random.choice("abc") for _ in range(random.randint(1, 12))) for _ in range(random.randint(0, 120))]
+        t = "".join(w + random.choice([" ", " ", ". ", "\n", "\n\n", "。", "\n# "]) for w in words)
+        pieces, forced = splitting.split(t, limits)
+        assert not forced
+        for (before, _, _), (start, new, end) in zip(pieces, pieces[1:]):
+            least = max(before, new - limits.overlap)
+            starts = [i for i in range(least, new) if i == 0 or t[i - 1] in splitting.BOUNDARIES]
+            assert start == (starts[0] if starts else new) and new - start >= 1
+
+
+@pytest.mark.parametrize("unit", ["sentence of some words " * 32 + "ends here. ", "line of words " * 54 + "\n", "a paragraph with words " * 33 + "\n\n"])
+def test_long_sentences_lines_and_paragraphs_leave_room_for_the_overlap(unit):
+    assert 700 < len(unit) <= 800
+    pieces, forced = splitting.split(unit * 6)
+    assert not forced and all(85 <= n - a <= 100 for a, n, _ in pieces[1:]) and all(e - a <= 800 for a, _, e in pieces)
+
+
 def test_numbered_pieces(spark):
     rows = [(1, 7, 0, "wort " * 300), (2, 7, 0, "x" * 900), (3, 8, 1, "short"), (4, None, None, None), (5, 9, 0, "y" * 800 + " ")]
     df = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, content string")
