@@ -386,6 +386,47 @@ def test_tiny_sources_get_their_quota(spark):
     assert read == p.wanted and p.wanted["tiny"] == 5
 
 
+def test_blocks_are_equal_and_long_texts_lie_in_several(spark):
+    random.seed(12)
+    docs = [(i, "word " * random.choice([3, 20, 90, 400, 1500]) + str(i), random.choice(["big", "big", "small"])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 2.0, 3), ("small", 5.0, 2)], "source string, target_weight double, max_repeats int")
+    p = mixing.plan(df, targets, BPE, mixing.Mix(slot_tokens=100, bucket_rows=10))
+    parts = mixing.block_texts(p).collect()
+    tokens = {r["doc_id"]: r["tokens"] for r in p.texts.collect()}
+    for source, _, _, cap, blocks in p.shares:
+        sizes = Counter()
+        for r in parts:
+            if r["source"] == source:
+                sizes[r["block"]] += r["to_token"] - r["from_token"]
+        assert set(sizes) == set(range(blocks)) and max(sizes.values()) - min(sizes.values()) <= 1 and max(sizes.values()) <= 100
+    for doc, n in tokens.items():
+        mine = sorted((r["from_token"], r["to_token"]) for r in parts if r["doc_id"] == doc)
+        assert mine[0][0] == 0 and mine[-1][1] == n and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+    slots = mixing.schedule(p, spark).collect()
+    caps = {s: c for s, _, _, c, _ in p.shares}
+    assert all(r["pass"] < caps[r["source"]] for r in slots) and Counter(r["source"] for r in slots) == p.wanted
+    got = Counter()
+    for r in mixing.usage(p, spark).collect():
+        assert r["uses"] <= caps[r["source"]]
+        got[r["source"]] += r["uses"] * r["tokens"]
+    whole = sum(tokens.values())
+    for source, _, planned, _, _ in p.shares:  # as planned, to one slot and half the longest text
+        assert abs(got[source] - planned * sum(got.values())) <= 100 + max(tokens.values()) / 2 + 1, (source, got, whole)
+
+
+def test_golden_points_keep_their_digits(spark):
+    from fractions import Fraction
+    from math import isqrt
+
+    golden = Fraction(isqrt(5 * 10**80) - 10**40, 2 * 10**40)
+    x = F.floor(F.col("id") / mixing.STRIDE) * mixing.GOLDEN_STRIDE
+    x = x - F.floor(x) + (F.pmod("id", F.lit(mixing.STRIDE)) + 0.5) * mixing.GOLDEN
+    ids = [0, 1, 12345678, 5 * 10**10 + 7, 10**12 + 3]
+    for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", (x - F.floor(x)).alias("x")).collect():
+        assert abs(r["x"] - float((Fraction(2 * r["id"] + 1, 2) * golden) % 1)) < 1e-7
+
+
 # --- repetition ----------------------------------------------------------------
 def test_repeated_share():
     s = "The cold cache rejects the stale index now. "
