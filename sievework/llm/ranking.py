@@ -1,9 +1,13 @@
 """One ranking from several scores on different scales.
 
 Each score becomes its average rank within the group, so no score rules by its
-range. The first principal component of the ranks, from the group's
-correlation matrix, weighs them; loadings take the declared directions, and
-items are sorted by their projection.
+range, and counts upwards in its declared direction. The first principal
+component of the ranks, from the group's correlation matrix, weighs them; one
+sign turns all its loadings towards the declared directions, and items are
+sorted by their projection. Where the loadings have both signs, a score runs
+against the others, and the component would reward what is declared worse:
+then the component of most variance among those without negative loadings takes
+its place, which leaves such a score out.
 
 Ranks are distributed: values are counted first (equal ones collapse), a
 monotone bucket of the value splits every group, and only the bucket totals of
@@ -11,14 +15,15 @@ a group are ever summed up in one place. The correlation matrix is six sums
 per group.
 
 Defined results: only rows with all scores present and valid are ranked; a
-group of one has rank 1; a score that is constant in its group has no loading
-beyond the least one, which also keeps an item that is better in one score and
-as good in all others strictly ahead; equal projections share a rank and are
-listed by id; NaN counts as absent.
+group of one has rank 1; a score that is constant in its group has no loading;
+scores that explain equally much weigh the same; equal projections share a
+rank; NaN counts as absent.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +32,8 @@ from pyspark.sql.window import Window
 
 from sievework.session import cut
 
-#: Every loading is at least this share of the largest.
-LEAST_LOADING = 1e-3
+#: Scores at most: the components without negative loadings are sought among all subsets.
+MOST_SCORES = 12
 
 
 def value_bucket(value: Column, per_octave: int = 64) -> Column:
@@ -53,32 +58,60 @@ def average_ranks(df: DataFrame, group: list[str], value: str, buckets: Column |
     return upto.select(*group, value, (F.col("high") - F.col("n") + 1).alias("low"), "high")
 
 
+def oriented_component(correlations: np.ndarray) -> np.ndarray:
+    """Unit loadings of each of the (n, k, k) matrices: none negative, explaining most of the variance.
+
+    That is the first principal component wherever its loadings have one sign.
+    Otherwise its support is a subset whose own first component has one sign;
+    the best subset is found by trying all. Scores with an empty row are constant.
+    """
+    n, k, _ = correlations.shape
+    # among directions that explain the same, the one nearest to equal weights
+    c = correlations + 1e-9 * np.einsum("ni,nj->nij", *[np.einsum("nii->ni", correlations) > 0] * 2)
+    best, load = np.zeros(n), np.zeros((n, k))
+    open_ = np.arange(n)
+    for size in range(k, 0, -1):
+        for chosen in map(list, itertools.combinations(range(k), size)):
+            if not len(open_):
+                return load
+            values, vectors = np.linalg.eigh(c[np.ix_(open_, chosen, chosen)])
+            v = vectors[:, :, -1]
+            v = v * np.where(v.sum(1, keepdims=True) < 0, -1.0, 1.0)
+            fits = (v >= -1e-9).all(1) & (values[:, -1] > 0)
+            better, same = fits & (values[:, -1] > best[open_] + 1e-12), fits & (np.abs(values[:, -1] - best[open_]) <= 1e-12)
+            load[open_[better]] = 0.0
+            for rows in (better, same):
+                load[np.ix_(open_[rows], chosen)] += np.maximum(v[rows], 0.0)
+            best[open_[better]] = values[better, -1]
+            if size == k:  # the principal component itself can't be beaten
+                open_ = open_[~fits]
+    norm = np.linalg.norm(load, axis=1, keepdims=True)
+    return np.divide(load, norm, out=np.zeros_like(load), where=norm > 0)
+
+
 def principal_weights(ranked: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """(group, weights array) from the group's correlation matrix of `columns`."""
     k = len(columns)
+    if k > MOST_SCORES:
+        raise ValueError(f"at most {MOST_SCORES} scores, not {k}")
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     sums = [F.coalesce(F.covar_pop(columns[i], columns[j]), F.lit(0.0)).alias(f"_c{i}_{j}") for i, j in pairs]
     spread = [F.coalesce(F.var_pop(c), F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(columns)]
-    stats = ranked.groupBy(*group).agg(*sums, *spread)
+    stats = ranked.groupBy(*group).agg(*spread, *sums)
 
     @F.pandas_udf("array<double>")
-    def weigh(covariances: pd.DataFrame, variances: pd.DataFrame) -> pd.Series:
-        out = []
-        for c, v in zip(covariances.to_numpy(), variances.to_numpy()):
-            alive = v > 1e-12
-            m = np.diag(alive.astype(float))
-            for x, (i, j) in zip(c, pairs):
-                if alive[i] and alive[j]:
-                    m[i, j] = m[j, i] = x / np.sqrt(v[i] * v[j])
-            # loadings point in the declared directions: all scores count upwards here
-            load = np.abs(np.linalg.eigh(m)[1][:, -1]) if alive.any() else np.zeros(k)
-            top = load.max() or 1.0
-            out.append((np.maximum(load / top, LEAST_LOADING)).tolist())
-        return pd.Series(out)
-
-    c = F.struct(*[f"_c{i}_{j}" for i, j in pairs])
-    v = F.struct(*[f"_v{i}" for i in range(k)])
-    return stats.select(*group, weigh(c, v).alias("weights"))
+    def weigh(moments: pd.DataFrame) -> pd.Series:
+        m = moments.to_numpy(dtype=float)
+        deviation = np.sqrt(np.where(m[:, :k] > 1e-12, m[:, :k], np.inf))
+        c = np.zeros((len(m), k, k))
+        for i in range(k):
+            c[:, i, i] = np.isfinite(deviation[:, i])
+        for x, (i, j) in zip(m[:, k:].T, pairs):
+            c[:, i, j] = c[:, j, i] = x / (deviation[:, i] * deviation[:, j])
+        return pd.Series(list(oriented_component(c)))
+
+    moments = F.struct(*[f"_v{i}" for i in range(k)], *[f"_c{i}_{j}" for i, j in pairs])
+    return stats.select(*group, weigh(moments).alias("weights"))
 
 
 def fused_ranking(df: DataFrame, group: str, key: str, scores: dict[str, bool]) -> DataFrame:
@@ -121,13 +154,16 @@ def fused_ranking(df: DataFrame, group: str, key: str, scores: dict[str, bool])
 
 
 def dominant(ranking: DataFrame, group: str, key: str, scores: dict[str, bool]) -> DataFrame:
-    """Items that no other of their group matches or beats in any score, and beat all in some.
+    """Items that are as good as every other of their group in all scores, and better than it in some.
 
-    Such an item leads the ranking alone; that it does so in every score is checked exactly.
+    No loading is negative, so such an item leads the ranking, maybe beside
+    others that are worse only in scores without a loading. Of the leaders,
+    an exact check keeps one that is best in every score and the only such.
     """
     best = [(F.max(c) if up else F.min(c)).alias(f"_best_{c}") for c, up in scores.items()]
     tops = ranking.groupBy(group).agg(F.count("*").alias("_n"), *best).where("_n > 1")
-    leader = ranking.where("rank = 1 and tied = 1").join(tops, group)
+    leaders = ranking.where("rank = 1").join(tops, group)
     for c in scores:
-        leader = leader.where(F.col(c) == F.col(f"_best_{c}"))
-    return leader.select(group, key)
+        leaders = leaders.where(F.col(c) == F.col(f"_best_{c}"))
+    alone = leaders.groupBy(group).agg(F.count("*").alias("_leaders"), F.min(key).alias(key))
+    return alone.where("_leaders = 1").select(group, key)

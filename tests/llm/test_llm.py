@@ -215,6 +215,60 @@ def test_dominant_items_lead(spark):
     assert ranking.fused_ranking(df.limit(0), "run", "id", SCORES).count() == 0
 
 
+def _correlation(ranks):
+    c = np.corrcoef(ranks, rowvar=False)
+    return np.where(np.isnan(c), 0.0, c)
+
+
+def test_loadings_are_the_first_component_or_the_best_without_negative_ones():
+    rng = np.random.default_rng(3)
+    mixed = 0
+    for _ in range(60):
+        x = rng.normal(size=(30, 4)) + rng.normal(size=(30, 1)) * rng.choice([-1.0, 0.3, 1.0, 2.0], size=4)
+        c = _correlation(x)
+        got = ranking.oriented_component(c[None])[0]
+        v = np.linalg.eigh(c)[1][:, -1]
+        assert np.linalg.norm(got) == pytest.approx(1.0) and (got >= 0).all()
+        if (v > 0).all() or (v < 0).all():
+            assert got == pytest.approx(np.abs(v), abs=1e-6)
+            continue
+        mixed += 1
+        tried = np.abs(rng.normal(size=(4000, 4))) * rng.integers(0, 2, size=(4000, 4))
+        tried = tried[tried.any(1)]
+        tried /= np.linalg.norm(tried, axis=1, keepdims=True)
+        assert got @ c @ got >= np.einsum("ni,ij,nj->n", tried, c, tried).max() - 1e-9
+    assert mixed > 5
+    against = np.array([[1, 0.8, -0.7], [0.8, 1, -0.7], [-0.7, -0.7, 1]])
+    assert ranking.oriented_component(against[None])[0] == pytest.approx([0.5**0.5, 0.5**0.5, 0])
+    for same in (np.eye(3), np.array([[1.0, -1.0], [-1.0, 1.0]])):
+        assert ranking.oriented_component(same[None])[0] == pytest.approx(len(same) ** -0.5)
+    assert ranking.oriented_component(np.zeros((2, 3, 3))).tolist() == [[0.0] * 3] * 2
+
+
+def test_ranking_equals_brute_force(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    rows = [(run, 100 * run + i, float(rng.integers(0, 6)), float(rng.normal()), int(rng.integers(1, 9))) for run in range(8) for i in range(int(rng.integers(1, 30)))]
+    frame = pd.DataFrame(rows, columns=["run", "id", "a", "b", "c"])
+    scores = {"a": True, "b": True, "c": False}
+    made = ranking.fused_ranking(spark.createDataFrame(frame), "run", "id", scores)
+    got = {r["id"]: r for r in made.collect()}
+    leaders = {r["id"] for r in ranking.dominant(made, "run", "id", scores).collect()}
+    want = set()
+    for _, g in frame.groupby("run"):
+        up = g[["a", "b"]].assign(c=-g["c"])
+        z = ((up.rank() - 1) / (len(g) - 1)).to_numpy() if len(g) > 1 else np.ones((1, 3))
+        w = ranking.oriented_component(_correlation(z)[None])[0] if len(g) > 1 else np.zeros(3)
+        p = np.round(z @ w, 9)
+        for i, key in enumerate(g["id"]):
+            assert got[key]["projection"] == pytest.approx(p[i], abs=1e-8)
+            assert got[key]["rank"] == (p > p[i]).sum() + 1 and got[key]["tied"] == (p == p[i]).sum()
+        u = up.to_numpy()
+        want |= {key for i, key in enumerate(g["id"]) if len(g) > 1 and all((u[i] >= u[j]).all() and (u[i] > u[j]).any() for j in range(len(g)) if j != i)}
+    assert leaders == want
+
+
 # --- markup --------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text,kinds",
