@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import cut
+
 #: Longest runs of at least four letters, after lower-casing.
 TERM = "[a-zß-öø-ÿ]{4,}"
 
@@ -56,9 +58,9 @@ def distinctive_terms(df: DataFrame, key: str, text: str, prior: float = 1000.0,
     df must hold each key once. Counting is local to the record; only the
     summed vocabulary and the pairs cross the network. Frequent terms are hot
     keys of the join: adaptive execution splits them. Filters on tf and df
-    move below the join.
+    move below the join. The counts are written once, so texts are read once.
     """
-    counts = term_counts(df, key, text, pattern)
+    counts = cut(term_counts(df, key, text, pattern))  # read three times
     vocabulary = collection_counts(counts)
     total = vocabulary.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total")).scalar()
     joined = counts.join(vocabulary, "term").withColumn("total", total)

@@ -11,6 +11,8 @@ from sievework.sources.tables import delivered_once, table
 
 #: Pairs from this cosine on count as near.
 NEAR = 0.97
+#: z-score from which a term is characteristic of its record (two-sided 5 %).
+CHARACTERISTIC = 1.96
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +20,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that a chunk repeats and that few other chunks have."""
+    """Terms that are characteristic of a chunk by their z-score, of those that it repeats and few other chunks have."""
     scored = distinctive.distinctive_terms(_chunks(spark, sf_dir), "id", "content")
-    return scored.where("tf >= 3 and df between 2 and 8 and z > 0").select(F.col("id").alias("chunk_id"), "term")
+    return scored.where(F.col("z") >= CHARACTERISTIC).where("tf >= 3 and df between 2 and 8").select(F.col("id").alias("chunk_id"), "term")
 
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,11 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 
 
 class Vocabulary:
-    """Tokens of a rank file and which of them may be neighbours."""
+    """Tokens of a rank file and which of them may be neighbours; at most `most_pairs` of those are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 500_000):
         self.rank = ranks
+        self.most_pairs = most_pairs
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._beside: dict[tuple[int, int], bool] = {}
@@ -71,6 +72,8 @@ class Vocabulary:
         known = self._beside.get((left, right))
         if known is None:
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            if len(self._beside) >= self.most_pairs:
+                self._beside.clear()
             self._beside[left, right] = known
         return known
 

@@ -30,6 +30,22 @@ def test_z_scores_equal_brute_force(spark):
     assert distinctive.distinctive_terms(df.limit(0), "id", "content").count() == 0
 
 
+def test_z_puts_planted_terms_first(spark):
+    random.seed(13)
+    common = [f"{a}{b}" for a in ("cache", "index", "queue", "table") for b in ("read", "write", "lock", "full", "cold")]
+    texts = [[random.choice(common) for _ in range(random.randint(20, 60))] for _ in range(200)]
+    planted = {(i, f"zeta{w}") for w in "abcde" for i in random.sample(range(200), 4)}
+    for i, w in planted:
+        texts[i] += [w] * random.randint(3, 5)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, content string")
+    rows = distinctive.distinctive_terms(df, "id", "content").collect()
+    z = {(r["id"], r["term"]): r["z"] for r in rows}
+    for i, w in planted:
+        rivals = [v for (k, t), v in z.items() if k == i and (k, t) not in planted]
+        assert z[i, w] > max(rivals) and z[i, w] >= 1.96
+    assert sum(v >= 1.96 for v in z.values()) < 0.05 * len(z)
+
+
 def test_only_term_of_the_collection(spark):
     df = spark.createDataFrame([(1, "same same")], "id long, content string")
     assert distinctive.distinctive_terms(df, "id", "content").first()["z"] == 0.0
@@ -386,6 +402,8 @@ def test_states_are_bounded_and_decoder_is_incremental():
     small = tokenizer.Transducer(tokenizer.transducer(BPE).vocabulary, most_states=50, most_words=5)
     text = "several quite different words, one after another, 123 times"
     assert small.encode(text) == tokenizer.transducer(BPE).encode(text) and len(small._states) <= 200
+    tight = tokenizer.Vocabulary(small.vocabulary.rank, most_pairs=3)
+    assert tokenizer.Transducer(tight).encode(text) == small.encode(text) and len(tight._beside) <= 3
     d = tokenizer.Decoder()
     assert d.feed(b"\xf0\x9f") == "" and d.feed(b"\x99\x82a\xc3") == "🙂a" and d.end() == "�"
     assert tokenizer.Decoder().feed(b"\xed\xa0\x80") == "���"
