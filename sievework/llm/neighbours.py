@@ -5,7 +5,11 @@ h(x) = floor((a.x + b) / w). A vector is filed in its own bucket of each table
 and, as a query, also visits the perturbed buckets that are likeliest to hold
 near vectors, in order of estimated success (the sum of squared distances to
 the bucket walls that are crossed). The candidates of all tables are merged,
-and their exact distances rank them.
+and their exact distances rank them. m grows with the number of vectors so that
+buckets do not, and L follows from m: the share of pairs at the least
+similarity that one table finds is simulated with the very hash and probes, and
+there are as many tables as the wanted recall needs. The exact mode is the same
+plan with one bucket for all, in blocks.
 
 Skew: vectors with equal components are one entry with a list of members, so
 groups of copies never meet in a bucket; buckets above `block_rows` are cut
@@ -35,7 +39,7 @@ from pyspark.sql.window import Window
 from sievework.session import cut
 
 _VECTORS = "id bigint, dim int, code bigint, unit binary"
-_PLACED = "place bigint, probe boolean, id bigint, dim int, half binary"
+_PLACED = "place bigint, probe boolean, id bigint, dim int, short binary"
 _FOUND = "query_id bigint, id bigint"
 
 
@@ -43,22 +47,70 @@ _FOUND = "query_id bigint, id bigint"
 class Search:
     """Parameters of the index.
 
-    width: w of the hash; tables: L; probes: perturbed buckets each query
+    width: w of the hash; tables: L, or more where `recall` at min_similarity
+    (if that is positive) needs more; probes: perturbed buckets each query
     visits per table besides its own; bucket_rows: rows a bucket should hold on
     average, from which m follows unless projections sets it; block_rows: rows
-    of a block at most.
+    of a block at most; exact: compare with all vectors instead.
     """
 
     k: int = 5
     min_similarity: float = -1.0
     width: float = 2.5
     tables: int = 4
+    recall: float = 0.95
     probes: int = 2
-    bucket_rows: int = 1000
+    bucket_rows: int = 4000
     projections: int | None = None
     block_rows: int = 8192
+    exact: bool = False
     seed: int = 7
 
+    def projections_for(self, n: int) -> int:
+        """m for n vectors."""
+        if self.exact:
+            return 0
+        # collision of unrelated unit vectors in one projection is about 0.57 at w = 2.5
+        apart = 1 - 0.7979 * 1.4142 / self.width * (1 - math.exp(-((self.width / 1.4142) ** 2) / 2))
+        fit = max(1, round(math.log(max(n / self.bucket_rows, 1.0)) / -math.log(apart)))
+        return self.projections or fit
+
+    def tables_for(self, m: int, all_ask: bool = True) -> int:
+        """L for m projections, never less than `tables`."""
+        if not m:
+            return 1
+        if self.min_similarity <= 0:
+            return self.tables
+        found = success(self, m, self.min_similarity, all_ask)
+        if found >= 1:
+            return self.tables
+        return max(self.tables, math.ceil(math.log(1 - self.recall) / math.log1p(-max(found, 1e-4))))
+
+
+def success(search: Search, m: int, similarity: float, all_ask: bool = True, pairs: int = 20_000) -> float:
+    """Share of pairs at this similarity that one table of m projections finds, simulated; either side may if all ask.
+
+    A pair's projections depend on nothing but its similarity: two normal
+    numbers with that correlation.
+    """
+    rng = np.random.default_rng([search.seed, m])
+    a = rng.normal(size=(pairs, m))
+    b = similarity * a + math.sqrt(1 - similarity**2) * rng.normal(size=(pairs, m))
+    offset = rng.uniform(0, search.width, m)
+    mult = rng.integers(1, 2**62, size=m, dtype=np.int64) | 1
+    sides = []
+    for x in (a, b):
+        at = (x + offset) / search.width
+        with np.errstate(over="ignore"):
+            own = (np.floor(at).astype(np.int64) * mult).sum(1)
+        sides.append((own, at - np.floor(at)))
+    found = sides[0][0] == sides[1][0]
+    for (own, inside), (other, _) in (sides, sides[::-1])[: 2 if all_ask else 1]:
+        for shift in _shifts(inside, mult, search.probes):
+            with np.errstate(over="ignore"):
+                found |= own + shift == other
+    return float(found.mean())
+
 
 def parse_vector(text: str | None) -> np.ndarray | None:
     """The unit vector written in `text`, or None if it is unusable."""
@@ -111,8 +163,11 @@ def _probe_sets(m: int, reach: int = 6) -> list[tuple[int, ...]]:
     return [s for n in range(1, 4) for s in itertools.combinations(range(reach), n)]
 
 
-def _placer(m_of: dict[int, int], search: Search, probing: bool, filing: bool):
-    """Bucket places of each vector: its own (probe false) and the perturbed ones (probe true)."""
+def _placer(plan_of: dict[int, tuple[int, int]], search: Search, probing: bool, filing: bool):
+    """Bucket places of each vector: its own (probe false) and the perturbed ones (probe true).
+
+    plan_of: projections and tables for each number of components.
+    """
 
     def place(batches):
         hashes: dict[int, list] = {}
@@ -123,32 +178,36 @@ def _placer(m_of: dict[int, int], search: Search, probing: bool, filing: bool):
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(units[i] for i in rows), dtype=np.float32).reshape(len(rows), dim)
-                half = [h.tobytes() for h in x.astype(np.float16)]
+                short = _short(x)
                 key = ids[rows]
-                m = m_of[int(dim)]
+                m, tables = plan_of[int(dim)]
                 if dim not in hashes:
                     rng = np.random.default_rng([search.seed, int(dim)])
-                    mult = rng.integers(1, 2**62, size=(search.tables, m), dtype=np.int64) | 1
-                    hashes[dim] = [
-                        (rng.normal(size=(dim, m)), rng.uniform(0, search.width, m), mult[t]) for t in range(search.tables)
-                    ]
+                    mult = rng.integers(1, 2**62, size=(tables, m), dtype=np.int64) | 1
+                    hashes[dim] = [(rng.normal(size=(dim, m)), rng.uniform(0, search.width, m), mult[t]) for t in range(tables)]
                 for t, (a, b, mult) in enumerate(hashes[dim]):
                     at = (x @ a + b) / search.width
                     cell = np.floor(at)
                     with np.errstate(over="ignore"):
                         own = (cell.astype(np.int64) * mult).sum(1) * 31 + t * 1_000_003 + int(dim)
                     if filing:
-                        yield _batch(own, False, key, dim, half)
+                        yield _batch(own, False, key, dim, short)
                     if probing:
                         if not filing:
-                            yield _batch(own, True, key, dim, half)
-                        for shift in _shifts(at - cell, mult, search.probes):
+                            yield _batch(own, True, key, dim, short)
+                        for shift in _shifts(at - cell, mult, search.probes) if m else ():
                             with np.errstate(over="ignore"):
-                                yield _batch(own + shift * 31, True, key, dim, half)
+                                yield _batch(own + shift * 31, True, key, dim, short)
 
     return place
 
 
+def _short(x: np.ndarray) -> list[bytes]:
+    """The directions of the rows of x in one byte a component, for finding candidates."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    return [r.tobytes() for r in np.rint(x * (127 / top)).astype(np.int8)]
+
+
 def _shifts(inside: np.ndarray, mult: np.ndarray, probes: int):
     """Hash differences of the `probes` likeliest perturbed buckets, likeliest first."""
     m = inside.shape[1]
@@ -175,7 +234,7 @@ def _shifts(inside: np.ndarray, mult: np.ndarray, probes: int):
         yield np.take_along_axis(shift, best[:, p : p + 1], axis=1)[:, 0]
 
 
-def _batch(place, probe, ids, dim, half):
+def _batch(place, probe, ids, dim, short):
     n = len(ids)
     return pa.RecordBatch.from_arrays(
         [
@@ -183,15 +242,15 @@ def _batch(place, probe, ids, dim, half):
             pa.array(np.full(n, probe)),
             pa.array(ids, pa.int64()),
             pa.array(np.full(n, dim, dtype=np.int32)),
-            pa.array(half, pa.binary()),
+            pa.array(short, pa.binary()),
         ],
-        names=["place", "probe", "id", "dim", "half"],
+        names=["place", "probe", "id", "dim", "short"],
     )
 
 
 def _matcher(search: Search, all_query: bool):
     """Compare the queries of each block with its filed vectors; rows come sorted by block."""
-    slack = 0.004  # half precision moves a cosine by less
+    slack = 0.01  # one byte a component moves a cosine by less
     keep = search.k + 5
 
     def compare(filed, asking, out):
@@ -206,7 +265,7 @@ def _matcher(search: Search, all_query: bool):
             ok = s >= search.min_similarity - slack
             if s.shape[1] > keep:
                 floor = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-                ok &= s >= floor[:, None] - slack / 4
+                ok &= s >= floor[:, None] - slack / 2
             ok &= s > -1.5
             i, j = np.nonzero(ok)
             if len(i):
@@ -222,7 +281,8 @@ def _matcher(search: Search, all_query: bool):
             ids = np.concatenate([p[0] for p in parts])
             probe = np.concatenate([p[1] for p in parts])
             raw = b"".join(b for p in parts for b in p[2])
-            x = np.frombuffer(raw, dtype=np.float16).reshape(len(ids), -1).astype(np.float32)
+            x = np.frombuffer(raw, dtype=np.int8).reshape(len(ids), -1).astype(np.float32)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             filed = (ids[~probe], x[~probe])
             if all_query:
                 if len(filed[0]) > 1:
@@ -237,7 +297,7 @@ def _matcher(search: Search, all_query: bool):
             block = np.asarray(batch.column(1))
             probe = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(bool)
             ids = np.asarray(batch.column(3))
-            half = batch.column(4).to_pylist()
+            short = batch.column(4).to_pylist()
             edges = np.flatnonzero((np.diff(place) != 0) | (np.diff(block) != 0)) + 1
             out: list = []
             for a, b in itertools.pairwise([0, *edges.tolist(), len(place)]):
@@ -248,7 +308,7 @@ def _matcher(search: Search, all_query: bool):
                     if held:
                         finish(held, out)
                     held, current = [], key
-                held.append((ids[a:b], probe[a:b], half[a:b]))
+                held.append((ids[a:b], probe[a:b], short[a:b]))
             yield from _pairs(out)
         out = []
         if held:
@@ -274,36 +334,34 @@ def candidates(vectors: DataFrame, search: Search, queries: DataFrame | None = N
     only its perturbed places are sent on top; either side may find a pair.
     """
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    # collision of unrelated unit vectors in one projection is about 0.57 at w = 2.5
-    apart = 1 - 0.7979 * 1.4142 / search.width * (1 - math.exp(-((search.width / 1.4142) ** 2) / 2))
-    fit = lambda n: max(1, round(math.log(max(n / search.bucket_rows, 1.0)) / -math.log(apart)))
-    m_of = {d: search.projections or fit(n) for d, n in sizes.items()}
+    m_of = {d: search.projections_for(n) for d, n in sizes.items()}
+    plan_of = {d: (m, search.tables_for(m, queries is None)) for d, m in m_of.items()}
     rows = vectors.select("id", "dim", "unit")
     if queries is None:
-        placed = rows.mapInArrow(_placer(m_of, search, probing=True, filing=True), _PLACED)
+        placed = rows.mapInArrow(_placer(plan_of, search, probing=True, filing=True), _PLACED)
     else:
         asking = queries.select("id", "dim", "unit")
-        placed = rows.mapInArrow(_placer(m_of, search, probing=False, filing=True), _PLACED).unionByName(
-            asking.mapInArrow(_placer(m_of, search, probing=True, filing=False), _PLACED)
+        placed = rows.mapInArrow(_placer(plan_of, search, probing=False, filing=True), _PLACED).unionByName(
+            asking.mapInArrow(_placer(plan_of, search, probing=True, filing=False), _PLACED)
         )
     hot = None
     if max(sizes.values(), default=0) > search.block_rows:
-        hot = _hot_buckets(rows, m_of, search)
+        hot = _hot_buckets(rows, plan_of, search)
     if hot is None:
         placed = placed.withColumn("block", F.lit(0))
     else:
         placed = _blocked(placed, hot)
     sorted_rows = (
-        placed.select("place", "block", "probe", "id", "half")
+        placed.select("place", "block", "probe", "id", "short")
         .repartition("place", "block")
         .sortWithinPartitions("place", "block")
     )
     return sorted_rows.mapInArrow(_matcher(search, queries is None), _FOUND).dropDuplicates(["query_id", "id"])
 
 
-def _hot_buckets(rows: DataFrame, m_of: dict[int, int], search: Search) -> DataFrame | None:
+def _hot_buckets(rows: DataFrame, plan_of: dict[int, tuple[int, int]], search: Search) -> DataFrame | None:
     """(place, blocks) of the buckets above block_rows, or None if there are none."""
-    filed = rows.mapInArrow(_placer(m_of, search, probing=False, filing=True), _PLACED).select("place")
+    filed = rows.mapInArrow(_placer(plan_of, search, probing=False, filing=True), _PLACED).select("place")
     hot = filed.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > search.block_rows)
     hot = cut(hot.select("place", F.ceil(F.col("n") / (search.block_rows / 2)).cast("int").alias("blocks")))
     return None if hot.isEmpty() else hot
@@ -362,11 +420,11 @@ def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     def cosine(a, b):
         import pandas as pd
 
-        out = np.empty(len(a))
-        for i, (x, y) in enumerate(zip(a, b)):
-            u = np.frombuffer(x, dtype=np.float32).astype(np.float64)
-            v = np.frombuffer(y, dtype=np.float32).astype(np.float64)
-            out[i] = float(u @ v)
+        out, size = np.empty(len(a)), a.map(len).to_numpy()
+        for n in np.unique(size):  # one product for the pairs of each number of components
+            rows = np.flatnonzero(size == n)
+            u, v = (np.frombuffer(b"".join(c.iloc[rows]), dtype=np.float32).reshape(len(rows), -1) for c in (a, b))
+            out[rows] = np.einsum("ij,ij->i", u, v, dtype=np.float64)
         return pd.Series(out)
 
     left = vectors.select(F.col("id").alias("query_id"), F.col("unit").alias("a"))

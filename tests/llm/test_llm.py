@@ -209,6 +209,36 @@ def test_queries_for_some_and_recall(spark):
     assert hits >= 0.9 * 5 * 30 and {r["query_id"] for r in got} == set(range(0, 1500, 50))
 
 
+def test_recall_holds_at_every_size():
+    search = neighbours.Search(min_similarity=0.97, probes=1)
+    last = (0, 0)
+    for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+        m = search.projections_for(n)
+        tables = search.tables_for(m)
+        missed = (1 - neighbours.success(neighbours.Search(probes=1, seed=99), m, 0.97)) ** tables if m else 0.0
+        assert missed <= 0.07 and (m, tables) >= last
+        last = (m, tables)
+    assert last[1] > search.tables
+    assert search.tables_for(20, all_ask=False) > search.tables_for(20)
+
+
+def test_success_is_that_of_the_index(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.97 * x + (1 - 0.97**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, ",".join(f"{c:.7f}" for c in v)) for i, v in enumerate(np.concatenate([x, y]))]
+    search = neighbours.Search(min_similarity=0.96, probes=1, tables=1, projections=12, recall=0.01)
+    pairs_ = {(r["query_id"], r["neighbour_id"]) for r in neighbours.nearest(_vectors(spark, rows), search).collect()}
+    found = sum((i, i + 600) in pairs_ for i in range(600)) / 600
+    assert found == pytest.approx(neighbours.success(search, 12, 0.97), abs=0.12)
+    exact = neighbours.Search(min_similarity=0.96, exact=True, block_rows=256)
+    every = {(r["query_id"], r["neighbour_id"]) for r in neighbours.nearest(_vectors(spark, rows), exact).collect()}
+    assert all((i, i + 600) in every and (i + 600, i) in every for i in range(600))
+
+
 # --- rank fusion ---------------------------------------------------------------
 def test_average_ranks(spark):
     random.seed(4)
