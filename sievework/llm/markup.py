@@ -2,11 +2,12 @@
 
 Markup is stripped line by line; headings become `# ...` lines, list items
 `- ...`, code stays in fences or backticks, formulas between dollar signs.
-Then the line-block distribution decides what is content: text lengths are
-summed over a sliding window of lines, a surge opens a block of content, the
-next dive to nothing closes it. Lines outside all blocks are kept only if they
-carry structure, had no markup at all or have words, so rows of leftover marks
-go and no text is lost.
+Then the line-block distribution decides what is content: text lengths without
+those of links, navigation and footers are summed over a sliding window of
+filled lines, a surge at a line of some length opens a block of content, the
+next dive closes it. Between surge and dive everything stays. Outside, lines of nothing
+but several links, of navigation or a footer, and copyright lines go, as do
+leftover marks; other short lines are titles as often as not and stay.
 
 Defined results: null texts give null and no kinds, empty ones stay empty;
 plain texts come out as they are (line ends and outer blanks apart).
@@ -168,6 +169,13 @@ def kinds_of(text: str | None) -> list[str]:
     return kinds
 
 
+_STRUCTURE = re.compile(r"```|#|- |\$|\d{1,3}[.)] ")
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+#: Private characters around links and around navigation and footers, until the lines are chosen.
+_LINK, _LINK_END, _MENU, _MENU_END = "\ue000", "\ue001", "\ue002", "\ue003"
+_LINKED = re.compile(f"{_LINK}[^{_LINK_END}]*{_LINK_END}?")
+_MARKS = re.compile(f"[{_LINK}-{_MENU_END}]")
+
 #: A text without any of these has no markup.
 _ANY = re.compile(r"[<>&`*_#|=~$\[\]{}\\]|''|(?m:^\s*[-+:]|-{3}|-->)")
 
@@ -177,6 +185,9 @@ _BLOCK_TAGS = "p|div|br|tr|table|ul|ol|dl|hr|section|article|figure|blockquote|h
 def _strip_html(text: str) -> str:
     text = _COMMENT.sub("", text)
     text = re.sub(r"(?is)<(script|style)\b.*?(?:</\1>|\Z)", "", text)
+    if not _MARKS.search(text):  # texts that use these characters keep them, and their menus
+        text = re.sub(r"(?is)<(nav|footer)\b[^<>]*>(.*?)(?:</\1>|\Z)", rf"\n{_MENU}\2{_MENU_END}\n", text)
+        text = re.sub(r"(?is)<a\b[^<>]*>(.*?)</a>", rf"{_LINK}\1{_LINK_END}", text)
     text = re.sub(r"(?is)<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>)?\s*</pre>", r"\n```\n\1\n```\n", text)
     text = re.sub(r"(?i)<h([1-6])(?:\s[^<>]*)?>", lambda m: "\n" + "#" * int(m[1]) + " ", text)
     text = re.sub(r"(?i)<li(?:\s[^<>]*)?>", "\n- ", text)
@@ -273,9 +284,9 @@ def _strip_markdown(text: str) -> str:
 def content_blocks(lengths: list[int], window: int = 3, surge: int = 40) -> list[bool]:
     """Which lines lie between a surge and the next dive of the window sums.
 
-    The sum of a window counts for its first line; a surge is a window above
-    `surge` whose next window isn't empty, a dive is an empty line with an
-    empty one after it.
+    The sum of a window counts for its first line. A surge is a window above
+    `surge` whose first line has more than half of that, a dive is a window of
+    at most half of it.
     """
     n = len(lengths)
     prefix = [0]
@@ -284,9 +295,9 @@ def content_blocks(lengths: list[int], window: int = 3, surge: int = 40) -> list
     keep, inside = [False] * n, False
     for i in range(n):
         block = prefix[min(n, i + window)] - prefix[i]
-        if not inside and block > surge and lengths[i]:
+        if not inside and block > surge and lengths[i] * 2 > surge:
             inside = True
-        elif inside and block == 0:
+        elif inside and block * 2 <= surge:
             inside = False
         keep[i] = inside
     return keep
@@ -301,6 +312,7 @@ def clean(text: str | None, kinds: list[str] | None = None) -> str | None:
     if not kinds:
         return text.strip()
     raw = text
+    own = _MARKS.search(text) is not None
     if "html" in kinds:
         if "&" in text:
             text = html.unescape(text).replace("\xa0", " ")
@@ -311,15 +323,33 @@ def clean(text: str | None, kinds: list[str] | None = None) -> str | None:
         text = _strip_wiki(text)
     if "markdown" in kinds:
         text = _strip_markdown(text)
-    lines = [re.sub(r"[ \t]{2,}", " ", l).strip() for l in text.split("\n")]
+    lines, texts, menu = [], [], False
+    for line in text.split("\n"):
+        menu = not own and (menu or _MENU in line)
+        bare = re.sub(r"[ \t]{2,}", " ", line if own else _MARKS.sub("", line)).strip()
+        rest = "" if menu else re.sub(r"[ \t]{2,}", " ", line if own else _MARKS.sub("", _LINKED.sub("", line))).strip()
+        lines.append(bare)
+        texts.append((len(rest), 0 if own else line.count(_LINK), bool(bare) and not any(map(str.isalnum, rest)), menu))
+        menu = menu and line.rfind(_MENU_END) <= line.rfind(_MENU)
+    filled = [i for i, line in enumerate(lines) if line]
+    inside = [False] * len(lines)
+    for i, content in zip(filled, content_blocks([texts[i][0] for i in filled])):
+        inside[i] = content
     plain = set(l.strip() for l in raw.split("\n"))
-    inside = content_blocks([len(l) for l in lines])
     out, code, blank = [], False, True
-    for line, content in zip(lines, inside):
+    for i, (line, content) in enumerate(zip(lines, inside)):
         if line.startswith("```"):
             code = not code
-        structured = code or line.startswith(("```", "#", "- ", "$")) or "`" in line or line in plain
-        if line and (content or structured or any(map(str.isalnum, line))):
+        _, links, linked, in_menu = texts[i]
+        beside = any(0 <= j < len(texts) and texts[j][1] and texts[j][2] for j in (i - 1, i + 1))
+        menu_line = in_menu or (linked and (links > 1 or (links == 1 and beside)))
+        if code or content:
+            kept = True
+        elif line not in plain and (menu_line or _COPYRIGHT.match(line)):
+            kept = False
+        else:
+            kept = line in plain or _STRUCTURE.match(line) or any(map(str.isalnum, line))
+        if line and kept:
             out.append(line)
             blank = False
         elif not line and not blank:

@@ -338,7 +338,29 @@ def test_clean_text_keeps_structure():
     assert "$ x^2 $" in markup.clean("\\section{S}\n\\begin{equation}x^2\\end{equation}") and "# S" in markup.clean("\\section{S}\nx")
     assert markup.clean(None) is None and markup.clean("") == "" and markup.clean("plain\r\ntext ") == "plain\ntext"
     assert len(markup.clean("<b>" + "wort " * 50_000)) > 200_000
-    assert markup.content_blocks([0, 30, 20, 0, 0, 0, 5]) == [False, True, True, False, False, False, False]
+    assert markup.content_blocks([0, 30, 20, 0, 0, 0, 5]) == [False, True, False, False, False, False, False]
+
+
+PAGE = (
+    '<div><a href="/">Home</a> / <a href="/a">About</a> / <a href="/l">Login</a></div><h1>Cache</h1>'
+    "<p>The shared cache rejects the stale index while the broker signs the log.</p><p>It is full at night, when the queue drains.</p>{}"
+    "<ul><li>one lock</li><li>two locks</li></ul><p>Notes on the queue</p><pre>x = 1</pre>"
+    "<nav><ul><li>Next page</li><li><a href='/p'>Previous page</a></li></ul></nav><footer>Imprint and contact</footer><div>Copyright 2024 Example</div>"
+)
+
+
+def test_line_blocks_drop_menus_and_footers():
+    clean = markup.clean(PAGE.format(""))
+    for gone in ("Home", "Login", "Next page", "Previous", "Imprint", "Copyright"):
+        assert gone not in clean, gone
+    for kept in ("# Cache", "The shared cache", "It is full", "- one lock", "- two locks", "Notes on the queue", "```\nx = 1\n```"):
+        assert kept in clean, kept
+    # between surge and dive links stay, and a link alone is no menu
+    between = '<p><a href="/b">the broker</a> <a href="/q">the queue</a></p><p>Each entry of the log is signed again as soon as the broker is back.</p>'
+    assert "the broker the queue" in markup.clean(PAGE.format(between))
+    assert markup.clean('<a href="/x">Only a link</a>') == "Only a link"
+    own = "<p>\ue000x\ue001</p><footer>y</footer>"
+    assert markup.clean(own) == "\ue000x\ue001\n\ny"
 
 
 def test_long_constructs_are_recognised():
