@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.config import Retrieval
+from sievework.operators.documents import Scope
 
 
 def hybrid_score(similarity: Column, keyword_score: Column, config: Retrieval) -> Column:
@@ -69,3 +72,22 @@ def funnel(vectors: DataFrame, keywords: DataFrame, merged: DataFrame, final: Da
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     names = ["n_vector", "n_keyword", "n_merged", "n_final"]
     return rows.groupBy("query_id").agg(*[F.count_if(F.col("stage") == i).alias(n) for i, n in enumerate(names)])
+
+
+def cache_key(question: Column, scope: Scope | dict[str, Column], config: Retrieval = Retrieval()) -> Column:
+    """SHA-256 over everything that changes a question's sources: question, whole scope, limits and weights.
+
+    scope: fixed values, or columns for its fields where they differ by row. Lists count as sets, absent values as such.
+    """
+    fields = ("user_id", "knowledge_base_id", "knowledge_base_ids", "document_id", "document_ids", "status", "type", "types")
+    parts = {"question": question}
+    for f in fields:
+        value = scope.get(f) if isinstance(scope, dict) else getattr(scope, f)
+        if isinstance(value, (tuple, list)):
+            value = F.lit(",".join(str(x) for x in sorted(set(value))))
+        parts[f] = value if isinstance(value, Column) else F.lit(value)
+    for f in dataclasses.fields(config):
+        parts[f.name] = F.lit(str(getattr(config, f.name)))
+    # names and lengths keep neighbouring values apart
+    text = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{n}="), text(c)) for n, c in parts.items()]), 256)

@@ -105,8 +105,8 @@ def rule_chunks(text: str | None, config: Splitting = Splitting()) -> list[str]:
     return [c for s in topics(text) for c in with_title(s, lengths(s, config.chunk_size, config.overlap))]
 
 
-def paragraphs(text: str | None, config: Splitting = Splitting()) -> list[str]:
-    """Headings on their own, long paragraphs cut at sentence ends, short ones merged."""
+def line_paragraphs(text: str | None) -> list[str]:
+    """Lines between blank ones joined, headings on their own."""
     raw: list[str] = []
     open_lines: list[str] = []
 
@@ -123,6 +123,12 @@ def paragraphs(text: str | None, config: Splitting = Splitting()) -> list[str]:
         if line:
             raw.append(line)
     close()
+    return raw
+
+
+def paragraphs(text: str | None, config: Splitting = Splitting()) -> list[str]:
+    """Headings on their own, long paragraphs cut at sentence ends, short ones merged."""
+    raw = line_paragraphs(text)
     merged: list[str] = []
     buffer = ""
     for p in (q for r in raw for q in _cut_long(r, config)):
@@ -162,6 +168,26 @@ def split_by_rules(text: Column, config: Splitting = Splitting()) -> Column:
     return _per_text(lambda t: rule_chunks(t, config))(tx.clean(text))
 
 
+def topic_sections(text: Column) -> Column:
+    """array<string> of topics() of the cleaned text; none for null."""
+    return _per_text(lambda t: topics(t) if t else [])(tx.clean(text))
+
+
+def raw_paragraphs(text: Column) -> Column:
+    """array<string> of line_paragraphs() of the cleaned text."""
+    return _per_text(line_paragraphs)(tx.clean(text))
+
+
+def titled(section: Column, chunk: Column) -> Column:
+    """The chunk below its section's heading, as with_title() but in expressions."""
+
+    def below(title: Column) -> Column:
+        has = (chunk == title) | F.startswith(chunk, F.concat(title, F.lit("\n"))) | F.startswith(chunk, F.concat(title, F.lit("\r")))
+        return F.when(tx.is_heading(title) & ~has, F.concat(title, F.lit("\n\n"), chunk)).otherwise(chunk)
+
+    return tx.let(tx.first_line(section), below)
+
+
 def semantic_chunks(
     df: DataFrame, key: str, text: str, embed: Callable[[Column], Column], config: Splitting = Splitting()
 ) -> DataFrame:

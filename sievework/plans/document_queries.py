@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sievework.config import Dedup
 from sievework.functions import text as tx
-from sievework.operators import dedup, documents, split, vector
+from sievework.operators import dedup, documents, split, vector, vector_index
 from sievework.plans import sql as q
 from sievework.sources import files
 from sievework.sources.tables import delivered_once, table
@@ -69,6 +69,21 @@ def s15_vector_sizes(spark, d):
     return rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
 
 
+def s14_upsert(spark, d):
+    """The index after the vectors of finished documents were written again, doubled."""
+    v = vector.parse(F.col("vector_id"))
+    stored = chunks(spark, d, "document_id", "vector_id").select("id", "document_id", v.alias("vector")).where("vector is not null and size(vector) > 0")
+    done = docs(spark, d).where("status = 1").select(F.col("id").alias("document_id"))
+    fresh = stored.join(done, "document_id", "left_semi").withColumn("vector", F.transform("vector", lambda x: x * 2))
+    return vector_index.upsert(stored, fresh).select("id", "document_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+
+
+def s15_collection_check(spark, d):
+    """Sizes of the stored vectors and how they differ from the configured size."""
+    sizes = s15_vector_sizes(spark, d)
+    return sizes.select("dim", "n", vector_index.collection_check(F.col("dim"), 32).alias("error"))
+
+
 def s16_prefix_delete(spark, d):
     """Keys that stay when those below a prefix are deleted."""
     rows = docs(spark, d).where("object_key is not null")
@@ -168,6 +183,26 @@ def c01_heading(spark, d):
     return chunks(spark, d, "content").select("id", tx.is_heading(tx.first_line(F.col("content"))).cast("int").alias("is_heading"))
 
 
+def c02_topics(spark, d):
+    """Topic sections of every document."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(split.topic_sections(F.col("text"))).alias("pos", "section"))
+    return rows.select("doc_id", "pos", F.sha2("section", 256).alias("section_hash"))
+
+
+def c05_titles(spark, d):
+    """The last line of every chunk below the title that its first line may be."""
+    text = tx.clean(F.col("content"))
+    last = tx.trim_all(F.substring_index(text, "\n", -1))
+    rows = chunks(spark, d, "content").where("content is not null")
+    return rows.select("id", F.sha2(split.titled(text, last), 256).alias("titled_hash"))
+
+
+def c07_paragraphs(spark, d):
+    """Paragraphs of every document before long ones are cut and short ones merged."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(split.raw_paragraphs(F.col("text"))).alias("pos", "paragraph"))
+    return rows.select("doc_id", "pos", F.sha2("paragraph", 256).alias("paragraph_hash"))
+
+
 def c06_rule_split(spark, d):
     rows = table(spark, d, "documents")
     return rows.select("doc_id", F.posexplode(split.split_by_rules(F.col("text"))).alias("pos", "chunk"))
@@ -217,7 +252,7 @@ QUERIES = {
         s15_vector_sizes, s16_prefix_delete, s18_cascade_delete, s19_hash_backfill, s19_storage_backfill, s20_json,
         s21_upload_check, s21_signature, s22_duplicate_files, s23_storage, f01_scope_filter, f02_parameter_union,
         f05_keyword_prefilter, f08_vector_fit, f11_unfinished, f12_transitions, f13_status_name, f14_access, c01_heading,
-        c06_rule_split, c11_semantic_split, d01_content_hash, d02_exact_dedup, d03_body_dedup, d05_similar_pairs,
+        c02_topics, c05_titles, c07_paragraphs, s14_upsert, s15_collection_check, c06_rule_split, c11_semantic_split, d01_content_hash, d02_exact_dedup, d03_body_dedup, d05_similar_pairs,
         d05_greedy, d06_embedding_reuse, a11_dedup_counts,
     )
 }
@@ -237,6 +272,16 @@ marked as (select *,
   row_number() over (partition by document_id, body_hash, short order by chunk_index nulls first, id) = 1 as body_first from hashed),
 kept as (select *, short or (first and (body_hash = '' or body_first)) as kept from marked)
 """
+_SIMILAR = (
+    _DEDUP
+    + rf""", compact as (select id, document_id, regexp_replace(b, '{q.BLANK}', '', 'g') as s from bodies),
+grams as (select distinct id, document_id, unnest(case when length(s) < 5 then [s] else list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)) end) as g
+  from compact where length(s) > 0),
+sizes as (select id, count(*) as n from grams group by id),
+shared as (select x.document_id, x.id as a, y.id as b, count(*) as m from grams x join grams y on x.document_id = y.document_id and x.g = y.g and x.id < y.id group by 1, 2, 3),
+similar_pairs as (select document_id, a, b, round(m / (p.n + r.n - m), 6) as jaccard from shared join sizes p on p.id = a join sizes r on r.id = b where m / (p.n + r.n - m) >= 0.9)
+"""
+)
 _VECTOR = """vectors as (select id, list_transform(list_filter(list_transform(string_split(vector_id, ','), lambda x: trim(x)), lambda x: length(x) > 0),
   lambda x: try_cast(x as double)) as v from chunks),
 parsed as (select id, v from vectors where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null)) = 0)"""
@@ -255,6 +300,25 @@ ORACLE = {
     "s14_index_delete": f"""with {q.CHUNKS}, {q.DOCS} select id, document_id from chunks where vector_id is not null
   and (document_id is null or document_id not in (select id from docs where status = 2))""",
     "s15_vector_sizes": f"with {q.CHUNKS}, {_VECTOR} select len(v) as dim, count(*) as n from parsed group by 1",
+    "s14_upsert": f"""with {q.CHUNKS}, {q.DOCS}, {_VECTOR} select c.id, c.document_id, round(v[1] * case when d.id is null then 1 else 2 end, 6) as first
+  from parsed join chunks c using (id) left join docs d on d.id = c.document_id and d.status = 1""",
+    "s15_collection_check": f"""with {q.CHUNKS}, {_VECTOR} select len(v) as dim, count(*) as n,
+  case when len(v) <> 32 then 'vector size mismatch: configured=32, actual=' || len(v) end as error from parsed group by 1""",
+    "c02_topics": f"""with parts as (select doc_id, unnest(list_filter(list_transform(string_split({q.cleaned('text')}, chr(10) || chr(10)), lambda p: {q.trimmed('p')}), lambda p: length(p) > 0)) as p,
+    generate_subscripts(list_filter(list_transform(string_split({q.cleaned('text')}, chr(10) || chr(10)), lambda p: {q.trimmed('p')}), lambda p: length(p) > 0), 1) as i
+  from documents where text is not null),
+marked as (select *, sum(case when i = 1 or {q.heading(q.trimmed("string_split(p, chr(10))[1]"))} then 1 else 0 end) over (partition by doc_id order by i) as section from parts)
+select doc_id, (section - 1)::int as pos, sha256(string_agg(p, chr(10) || chr(10) order by i)) as section_hash from marked group by doc_id, section""",
+    "c05_titles": f"""with {q.CHUNKS}, t as (select id, {q.cleaned('content')} as t from chunks where content is not null),
+l as (select id, {q.trimmed('string_split(t, chr(10))[1]')} as title, {q.trimmed('string_split(t, chr(10))[-1]')} as last from t)
+select id, sha256(case when {q.heading('title')} and last <> title then title || chr(10) || chr(10) || last else last end) as titled_hash from l""",
+    "c07_paragraphs": f"""with split as (select doc_id, list_transform(string_split({q.cleaned('text')}, chr(10)), lambda l: {q.trimmed('l')}) as ls from documents where text is not null),
+lines as (select doc_id, unnest(ls) as l, generate_subscripts(ls, 1) as i from split),
+kinds as (select *, case when l = '' then 0 when {q.heading('l')} then 1 else 2 end as kind from lines),
+breaks as (select *, case when kind = 2 and lag(kind) over (partition by doc_id order by i) = 2 then 0 else 1 end as starts from kinds),
+islands as (select *, sum(starts) over (partition by doc_id order by i) as island from breaks),
+joined as (select doc_id, island, string_agg(l, chr(10) order by i) as paragraph from islands where kind > 0 group by doc_id, island)
+select doc_id, (row_number() over (partition by doc_id order by island) - 1)::int as pos, sha256(paragraph) as paragraph_hash from joined""",
     "s16_prefix_delete": f"with {q.DOCS} select id, object_key from docs where object_key not like 'kb/7/%'",
     "s18_cascade_delete": f"""with {q.CHUNKS}, {q.DOCS} select docs.id as document_id, count(chunks.id) as n_chunks, count(vector_id) as n_vectors
   from docs left join chunks on chunks.document_id = docs.id where status = 2 group by docs.id""",
@@ -300,13 +364,13 @@ select id, case when coalesce(file_size, 0) <= 0 then 400 when file_size > 52428
     "d01_content_hash": f"with {q.CHUNKS} select id, case when content is null then '' else sha256({q.cleaned('content')}) end as hash from chunks",
     "d02_exact_dedup": _DEDUP + "select id, (short or first)::int as kept from kept",
     "d03_body_dedup": _DEDUP + "select id, body_hash, kept::int as kept from kept",
-    "d05_similar_pairs": _DEDUP
-    + rf""", compact as (select id, document_id, regexp_replace(b, '{q.BLANK}', '', 'g') as s from bodies),
-grams as (select distinct id, document_id, unnest(case when length(s) < 5 then [s] else list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)) end) as g
-  from compact where length(s) > 0),
-sizes as (select id, count(*) as n from grams group by id),
-shared as (select x.document_id, x.id as a, y.id as b, count(*) as m from grams x join grams y on x.document_id = y.document_id and x.g = y.g and x.id < y.id group by 1, 2, 3)
-select document_id, a, b, round(m / (p.n + r.n - m), 6) as jaccard from shared join sizes p on p.id = a join sizes r on r.id = b where m / (p.n + r.n - m) >= 0.9""",
+    "d05_similar_pairs": _SIMILAR + "select document_id, a, b, jaccard from similar_pairs",
+    "d05_greedy": _SIMILAR
+    + """, earlier as (select document_id, b, list(a) as before from similar_pairs group by document_id, b),
+runs as (select document_id, list_reduce(list({'b': b, 'before': before, 'gone': []::bigint[]} order by b),
+  lambda x, y: {'b': y.b, 'before': y.before, 'gone': case when len(list_filter(y.before, lambda a: not list_contains(x.gone, a))) > 0 then list_append(x.gone, y.b) else x.gone end},
+  {'b': 0::bigint, 'before': []::bigint[], 'gone': []::bigint[]}) as r from earlier group by document_id)
+select document_id, unnest(r.gone) as id from runs""",
     "d06_embedding_reuse": f"""with {q.CHUNKS}, {q.DOCS},
 keyed as (select c.id, c.document_id, d.knowledge_base_id, d.status, sha256({q.cleaned('content')}) as hash, vector_id from chunks c join docs d on d.id = c.document_id
   where length({q.trimmed('content')}) >= 30)

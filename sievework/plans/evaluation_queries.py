@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import evaluate, rewrite
 from sievework.plans import sql as q
-from sievework.session import shared_dir
+from sievework.session import scratch
 from sievework.sources.tables import delivered_once, table
 from sievework.streaming import ingest
 
@@ -107,7 +107,7 @@ def st_event_windows(spark, d):
 
 def st_ingest(spark, d):
     """documents landed as a stream, split, deduplicated and stored; the stored chunks."""
-    base = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    base = scratch(spark, "ingest")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     rows.write.parquet(f"{base}/landing")
     ingest.ingest_stream(spark, f"{base}/landing", "id bigint, text string", f"{base}/store", f"{base}/checkpoint").awaitTermination()

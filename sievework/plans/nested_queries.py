@@ -131,7 +131,32 @@ def _member_sql(name: str, kind: str) -> str:
     return f"round(try_cast({value} as double), 6) as {name}" if kind == "double" else f"try_cast({value} as {kind}) as {name}"
 
 
+#: Every node with its labels: `owner` and `owner_schema` are those of the nearest enclosing object, null for a root object.
+_LABELS = f"""with recursive src as ({_SOURCES}),
+walk as (
+  select source_table, record_id, '' as dewey, '$' as schema, {_NORM.format(x='j')} as node, false as element, null::int as position,
+    null::varchar as owner, null::varchar as owner_schema from src
+  union all
+  select source_table, record_id, case when dewey = '' then '' else dewey || '.' end || (c).n, schema || (c).s, {_NORM.format(x='(c).v')}, (c).e,
+    case when (c).e then (c).n end, case when is_object then dewey else coalesce(owner, '') end, case when is_object then schema else coalesce(owner_schema, '$') end
+  from (
+    select source_table, record_id, dewey, schema, owner, owner_schema, json_type(node) = 'OBJECT' as is_object, unnest(case json_type(node)
+      when 'ARRAY' then list_transform(range(0, json_array_length(node)::bigint), lambda i: {{'n': i::int, 's': '[]', 'v': json_extract(node, '$[' || i || ']'), 'e': true}})
+      when 'OBJECT' then list_transform(json_keys(node), lambda k, i: {{'n': (i - 1)::int, 's': '.' || k, 'v': json_extract(node, '$."' || k || '"'), 'e': false}}) end) as c
+    from walk where json_type(node) in ('ARRAY', 'OBJECT')))
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_links": _LABELS
+    + """select source_table, record_id, schema as schema_path, dewey, owner as parent_dewey, position from walk where element and json_type(node) = 'OBJECT'""",
+    "p1_tables": _LABELS
+    + f""", objects as (select source_table, record_id, schema, owner_schema, node from walk where json_type(node) = 'OBJECT'),
+names as (select source_table, schema, owner_schema, list(distinct k) as ks from (
+  select source_table, schema, owner_schema, k from (select *, unnest(json_keys(node)) as k from objects)
+  where json_type({_NORM.format(x="json_extract(node, '$.\"' || k || '\"')")}) not in ('ARRAY', 'OBJECT')) group by all)
+select o.source_table, o.schema as schema_path, o.owner_schema as parent_schema_path, count(*) as rows, count(distinct record_id) as records,
+  coalesce(array_to_string(list_sort(any_value(ks)), ','), '') as member_names
+from objects o left join names n on n.source_table = o.source_table and n.schema = o.schema and n.owner_schema is not distinct from o.owner_schema group by 1, 2, 3""",
     "p1_found": _WALK + "select source_table, record_id, path from walk where element and json_type(node) = 'OBJECT'",
     "p1_chunks": _WALK
     + r"select source_table, record_id, path, try_cast(regexp_extract(path, '\[(\d+)\]$', 1) as int) as position, "

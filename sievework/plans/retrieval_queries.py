@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.config import Bm25, Compression, Retrieval, Rewrite
 from sievework.functions import text as tx
-from sievework.operators import context, evaluate, hybrid, keyword, models, rewrite, vector
+from sievework.operators import context, evaluate, hybrid, keyword, models, rewrite, vector, vector_index
 from sievework.plans import sql as q
 from sievework.plans.document_queries import chunks, docs
 from sievework.sources.tables import delivered_once, table
@@ -70,6 +70,35 @@ def v03_embedding_topk(spark, d):
     return vector.top_k(asked, e, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+def _embeddings(spark, d):
+    e = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("scope"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "scope", "vector"), e
+
+
+def v04_indexed_topk(spark, d):
+    """What v03_embedding_topk finds, through the index."""
+    asked, e = _embeddings(spark, d)
+    cells = vector_index.fit(e)
+    return vector_index.top_k(asked, vector_index.build(e, cells), cells, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+def v04_recall(spark, d):
+    """Whether the index finds at least nine tenths of the exact neighbours of all queries."""
+    found, exact = v04_indexed_topk(spark, d).select("query_id", "id"), v03_embedding_topk(spark, d).select("query_id", "id")
+    hits = found.join(exact, ["query_id", "id"]).agg(F.count("*").alias("hits"))
+    every = exact.agg(F.count("*").alias("neighbours"))
+    # two single rows
+    return every.crossJoin(hits).select("neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).cast("int").alias("recalled"))
+
+
+def v05_routed_topk(spark, d):
+    """The nearest chunk texts by the router that is set to the exhaustive search."""
+    asked, e = _embeddings(spark, d)
+    return vector_index.routed_top_k(asked, e, 10, "IN_MEMORY").withColumn("similarity", F.round("similarity", 6))
+
+
 def v03_vector_topk(spark, d):
     return _vectors(spark, d).withColumn("similarity", F.round("similarity", 6))
 
@@ -140,9 +169,12 @@ def a12_funnel(spark, d):
 
 
 def r04_cache_key(spark, d):
-    c = Retrieval()
-    parts = [F.col("question"), F.col("scope").cast("string"), *[F.lit(str(x)) for x in (c.vector_top_k, c.keyword_top_k, c.hybrid_top_k, c.final_top_k, c.min_final_score, c.vector_weight, c.keyword_weight)]]
-    return questions(spark, d).select("query_id", F.sha2(F.concat_ws("|", *parts), 256).alias("cache_key"))
+    """Keys of every question as asked by the owner of its base, and by a second user with filters."""
+    owners = table(spark, d, "knowledge_base").select(F.col("id").alias("scope"), "user_id")
+    asked = questions(spark, d).join(owners, "scope", "left")
+    own = hybrid.cache_key(F.col("question"), {"user_id": F.col("user_id"), "knowledge_base_id": F.col("scope"), "status": F.lit(1)})
+    other = {"user_id": F.col("user_id") + 1, "knowledge_base_id": F.col("scope"), "document_ids": (7, 3, 7), "status": F.lit(1), "types": ("pdf", "md")}
+    return asked.select("query_id", own.alias("cache_key"), hybrid.cache_key(F.col("question"), other).alias("filtered_key"))
 
 
 def q01_normalize(spark, d):
@@ -256,7 +288,7 @@ def m07_judge(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        e02_run_cases, x11_prompt, m05_overlap_rerank, m07_judge, h03_hybrid, v01_parse, v02_cosine, v03_embedding_topk, v03_vector_topk, a01_corpus_stats, a02_document_frequency, b01_keywords,
+        e02_run_cases, x11_prompt, m05_overlap_rerank, m07_judge, h03_hybrid, v01_parse, v02_cosine, v03_embedding_topk, v03_vector_topk, v04_indexed_topk, v04_recall, v05_routed_topk, a01_corpus_stats, a02_document_frequency, b01_keywords,
         b04_bm25, b07_keyword_topk, b08_rule_score, r02_model_rerank, r03_retrieve, r04_cache_key, a12_funnel, q01_normalize,
         q04_rewrite, x01_sentences, x05_compress, x07_context, x09_citations, x10_repair, m01_embedding,
     )
@@ -360,6 +392,16 @@ def _normalize_sql() -> str:
     return f"with {q.CASES} select id, trim(regexp_replace({n}, '{q.BLANK}', ' ', 'g'), ' ') as normalized from cases where question is not null"
 
 
+def _key_sql(user: str, documents: str, types: str) -> str:
+    value = lambda x: f"coalesce(length(({x})::varchar) || ':' || ({x})::varchar, '-')"
+    parts = {
+        "question": "question", "user_id": user, "knowledge_base_id": "scope", "knowledge_base_ids": "null", "document_id": "null",
+        "document_ids": f"'{documents}'" if documents else "null", "status": "1", "type": "null", "types": f"'{types}'" if types else "null",
+        "vector_top_k": "50", "keyword_top_k": "50", "hybrid_top_k": "80", "final_top_k": "3", "min_final_score": "'0.2'", "vector_weight": "'0.6'", "keyword_weight": "'0.4'",
+    }
+    return "sha256(" + " || '|' || ".join(f"'{n}=' || {value(x)}" for n, x in parts.items()) + ")"
+
+
 _LIST = "case when json_valid(golden_chunks) and json_type(golden_chunks) = 'ARRAY' then json_extract(golden_chunks, '$[*]') else []::json[] end"
 _GOLDEN_KEY = (
     "case when json_type(x, '$.documentId') in ('UBIGINT', 'BIGINT') and json_type(x, '$.chunkIndex') in ('UBIGINT', 'BIGINT') "
@@ -393,6 +435,12 @@ r as (select id, case when len(list_filter(v, lambda x: x is null)) = 0 then v e
   from embeddings e, embeddings o where o.vec_id = 0""",
     "v03_embedding_topk": """select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity,
   row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as vector_rank
+  from embeddings a join embeddings b using (label) where a.vec_id % 100 = 0 qualify vector_rank <= 10""",
+    "v04_recall": """with exact as (select a.vec_id as q, b.vec_id as i from embeddings a join embeddings b using (label) where a.vec_id % 100 = 0
+  qualify row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) <= 10)
+select count(*) as neighbours, 1 as recalled from exact""",
+    "v05_routed_topk": """select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity,
+  row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as vector_rank, 'IN_MEMORY' as source
   from embeddings a join embeddings b using (label) where a.vec_id % 100 = 0 qualify vector_rank <= 10""",
     "v03_vector_topk": _HYBRID + " select query_id, id, round(similarity, 6) as similarity, vector_rank from vec",
     "a01_corpus_stats": _BM25 + " select scope, n as n_chunks, round(a, 6) as avg_length from stats",
@@ -416,12 +464,29 @@ select id, case when n > 0 and length(s) > 0 then round(least(1.0, 0.75 * h / n
     + """, ids as (select query_id from vec union select query_id from kw) select query_id, (select count(*) from vec where vec.query_id = ids.query_id) as n_vector,
   (select count(*) from kw where kw.query_id = ids.query_id) as n_keyword, (select count(*) from merged where merged.query_id = ids.query_id) as n_merged,
   (select count(*) from final where final.query_id = ids.query_id) as n_final from ids""",
-    "r04_cache_key": _SCOPED + " select query_id, sha256(concat_ws('|', question, scope, '50', '50', '80', '3', '0.2', '0.6', '0.4')) as cache_key from asked",
+    "r04_cache_key": _SCOPED
+    + f"""select query_id, {_key_sql('k.user_id', '', '')} as cache_key, {_key_sql('k.user_id + 1', '3,7', 'md,pdf')} as filtered_key
+  from asked left join knowledge_base k on k.id = asked.scope""",
     "q01_normalize": _normalize_sql(),
     "q04_rewrite": _rewrite_sql(),
     "x01_sentences": f"""with {q.CHUNKS}, cc as (select id, {q.cleaned('content')} as c from chunks), ss as (select id, c, {_SENTENCES} as s from cc),
 t as (select id, case when len(s) > 0 then s when length({q.trimmed('c')}) > 0 then [{q.trimmed('c')}] else []::varchar[] end as s from ss)
 select id, len(s)::int as n, sha256(array_to_string(s, chr(10))) as text_hash from t""",
+    "x05_compress": f"""with {q.CASES}, {q.RESULTS}, r as (select r.id, coalesce(answer, '') as a, coalesce(question, '') as question from results r left join cases c on c.id = r.case_id),
+t as (select id, question, a, {q.cleaned('a')} as t, {q.without(q.squashed('question'), context.NOISE)} as phrase from r),
+asked as (select question, {q.terms('question', 2, context.NOISE)} as terms from (select distinct question from r)),
+h as (select t.*, terms, coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda l: {q.trimmed('l')}), lambda l: {q.heading('l')})[1], '') as title,
+  {_SENTENCES.replace('regexp_extract_all(c,', 'regexp_extract_all(t,')} as found from t join asked using (question)),
+s as (select *, case when len(found) > 0 then found when length({q.trimmed('t')}) > 0 then [{q.trimmed('t')}] else []::varchar[] end as ss from h),
+e as (select id, terms, phrase, title, unnest(ss) as s, generate_subscripts(ss, 1) as i from s),
+p as (select id, s, i, len(list_filter(terms, lambda x: length(x) > 0 and contains({q.squashed('s')}, x))) + case when length(phrase) > 0 and contains({q.squashed('s')}, phrase) then 2 else 0 end as hits,
+  s <> title as other from e),
+b as (select id, string_agg(s, chr(10) order by i) as best from (select * from p where hits > 0 and other qualify row_number() over (partition by id order by hits + 1.0 / i desc, i) <= 4) group by id),
+f as (select s.id, a, t, title, coalesce(best, '') as best, case when length(t) > 200 then {q.trimmed('substr(t, 1, 200)')} else t end as head from s left join b using (id)),
+g as (select *, title || chr(10) || chr(10) || head as th, {q.trimmed("case when title <> '' then title || chr(10) || chr(10) || best else best end")} as tb from f),
+d as (select id, a, case when length({q.trimmed('a')}) = 0 then '' when best <> '' then case when length(tb) > 800 then {q.trimmed('substr(tb, 1, 800)')} else tb end
+  when title = '' or contains(head, title) then head when length(th) > 800 then {q.trimmed('substr(th, 1, 800)')} else th end as compressed from g)
+select id, compressed, round(case when length(a) > 0 then length(compressed) / length(a) else 0.0 end, 6) as ratio from d""",
     "x07_context": _HYBRID
     + """, blocks as (select query_id, rank, '[' || rank || ']' || chr(10) || 'documentId: ' || document_id || chr(10) || 'chunkIndex: ' || chunk_index || chr(10) ||
   'content:' || chr(10) || content || chr(10) || chr(10) as b from final join held using (id))

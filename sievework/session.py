@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,43 @@ def local_session(cores: int | str = 8, app: str = "sievework") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a temporary
-    folder of this machine takes its place.
+    Where it is unset, a session on one machine (tests, bench) gets a temporary
+    folder of its own; on a cluster, whose executors could not read each
+    other's, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = f"file://{os.path.join(tempfile.gettempdir(), 'sievework-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    if path is not None:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        return f"file://{os.path.join(tempfile.gettempdir(), f'sievework-{context.applicationId}')}"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+#: Folders written for each application and not deleted yet.
+_written: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder for `kind` of data; discard_scratch() or the end of the session deletes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
     return path
 
 
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete what queries of this application have written so far; how many folders. For between queries: results read them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage.
 
@@ -45,8 +73,8 @@ def cut(df: DataFrame) -> DataFrame:
     every later branch reads it column by column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

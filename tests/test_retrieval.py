@@ -174,3 +174,92 @@ def test_reuse(spark):
     chunks = spark.createDataFrame([(1, 1, t, "1,2"), (2, 2, t, None), (3, 3, t, "1,2"), (4, 4, t, "1,2")], "id long, document_id long, content string, vector_id string")
     docs = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 1)], "id long, knowledge_base_id long, status int")
     assert {r["id"]: r["source_id"] for r in dedup.reusable(chunks, docs).collect()} == {2: 1, 3: 1}
+
+
+def _random_vectors(spark, n=1200, groups=30):
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(groups, 16))[rng.integers(0, groups, n)] + 0.3 * rng.normal(size=(n, 16))
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(9000, 0, [1.0, 2.0]), (9001, 1, None), (9002, 1, []), (9003, None, [1.0] * 16)]
+    return spark.createDataFrame(rows, "id long, scope long, vector array<double>")
+
+
+def test_indexed_top_k_has_the_recall(spark):
+    from sievework.operators import vector, vector_index
+
+    held = _random_vectors(spark)
+    asked = held.where("id % 20 = 0").selectExpr("id as query_id", "scope", "vector")
+    cells = vector_index.fit(held, vector_index.Index(sample=600))
+    assert set(cells) == {2, 16} and cells[16].visits < len(cells[16].centroids) / 2
+    found = {(r["query_id"], r["id"]) for r in vector_index.top_k(asked, vector_index.build(held, cells), cells, 5).collect()}
+    exact = {(r["query_id"], r["id"]) for r in vector.top_k(asked, held, 5).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    none = held.limit(0)
+    assert vector_index.fit(none) == {} and vector_index.build(none, {}).count() == 0
+
+
+def test_router_falls_back(spark):
+    from sievework.operators import vector, vector_index
+
+    held = _random_vectors(spark, n=200, groups=4)
+    asked = held.where("id in (0, 1, 9000)").selectExpr("id as query_id", "scope", "vector")
+    routed = vector_index.routed_top_k(asked, held, 3).collect()
+    source = {r["query_id"]: r["source"] for r in routed}
+    assert source == {0: "INDEX", 1: "INDEX", 9000: "IN_MEMORY"}  # 9000 has fewer than three of its size
+    plain = vector_index.routed_top_k(asked, held, 3, "IN_MEMORY").collect()
+    assert {r["source"] for r in plain} == {"IN_MEMORY"} and len(plain) == 7
+    assert vector_index.routed_top_k(asked, held.limit(0), 3).count() == 0
+    assert vector.top_k(asked, held, 3).count() == 7
+
+
+def test_index_upsert_delete_and_collection_check(spark):
+    import pytest
+
+    from sievework.operators import vector_index
+
+    index = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [0.0, 1.0]), (3, 8, None)], "id long, document_id long, vector array<double>")
+    fresh = spark.createDataFrame([(2, 7, [5.0, 5.0]), (4, 9, [2.0, 2.0])], "id long, document_id long, vector array<double>")
+    after = {r["id"]: r["vector"] for r in vector_index.upsert(index, fresh).collect()}
+    assert after == {1: [1.0, 0.0], 2: [5.0, 5.0], 3: None, 4: [2.0, 2.0]}
+    gone = spark.createDataFrame([(7,), (7,)], "document_id long")
+    assert [r["id"] for r in vector_index.delete_documents(index, gone).collect()] == [3]
+    vector_index.create_or_check(index, 2)
+    vector_index.create_or_check(index.limit(0), 1024)
+    with pytest.raises(ValueError, match="configured=1024, actual=2"):
+        vector_index.create_or_check(index, 1024)
+
+
+def test_cache_keys_differ_by_user_and_filters(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.config import Retrieval
+    from sievework.operators.documents import Scope
+    from sievework.operators.hybrid import cache_key
+
+    one = spark.range(1)
+    scopes = [Scope(), Scope(user_id=1), Scope(user_id=2), Scope(document_ids=(1, 2)), Scope(document_id=12), Scope(status=2), Scope(types=("pdf",)), Scope(type="pdf"), Scope(knowledge_base_id=1)]
+    keys = [cache_key(F.lit("why"), s) for s in scopes] + [cache_key(F.lit("why"), Scope(), Retrieval(final_top_k=5)), cache_key(F.lit("how"), Scope()), cache_key(F.lit(None).cast("string"), Scope())]
+    row = one.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).first()
+    assert len(set(row)) == len(keys)
+    same = one.select(cache_key(F.lit("why"), Scope(document_ids=(2, 1, 2))).alias("k")).first()[0]
+    assert same == row["k3"]
+
+
+def test_scratch_folders_are_deleted(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from sievework import session
+
+    spark.range(5).transform(session.cut).count()
+    path = session.scratch(spark, "cut").removeprefix("file://")
+    assert os.path.isdir(path) and session.discard_scratch(spark) >= 2 and not os.path.exists(path)
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
