@@ -2,9 +2,10 @@
 
 Queries are a DataFrame (query_id, scope, question), chunks one of (id, scope,
 content); a query searches the chunks of its scope (a knowledge base). Terms
-match as substrings of the squashed text, so all distinct terms are looked for
-in one pass over each chunk by an automaton, in blocks of terms of a bounded
-size; everything after that is equi-joins on (scope, term).
+match as substrings of the squashed text, so all distinct terms and phrases are
+looked for in one pass over each chunk by an automaton, in blocks of a bounded
+number of terms; hits are flags and counts, so no text leaves that pass, and
+everything after it is equi-joins on (scope, term).
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ STOP_WORDS = [
 PHRASE_NOISE = ["什么", "怎么", "如何", "为什么", "是否", "请问", "这个", "那个", "有哪些", "多少", "以及", "和", "的", "是"]
 # --------------------------------------------------------------------------------
 
-#: Terms of one automaton at most.
-TERM_BLOCK = 20_000
+#: Terms of one automaton at most; a hundred thousand short terms take some tens of MB of a worker.
+TERM_BLOCK = 100_000
 
 
 def _quoted(words: list[str]) -> str:
@@ -74,17 +75,19 @@ def search_terms(question: Column, most: int = 8) -> Column:
     return F.slice(score_terms(question), 1, most)
 
 
-def _counter(terms: list[str]):
+def _counter(scopes_of: dict[str, set]):
+    """Counts the terms in each chunk of one of the scopes that they are asked in."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for t in terms:
+        for t in scopes_of:
             automaton.add_word(t, t)
         automaton.make_automaton()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, squashed, lowered in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: list[list] = [[] for _ in range(7)]
+            for key, scope, squashed, lowered, title in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 found: dict[str, list[int]] = {}
                 for end, t in automaton.iter(squashed):
                     hit = found.get(t)
@@ -95,32 +98,36 @@ def _counter(terms: list[str]):
                         hit[1] = end
                 raw = {t for _, t in automaton.iter(lowered)}
                 for t in found.keys() | raw:
-                    for c, v in zip(out, (key, t, found.get(t, (0,))[0], t in raw)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())],
-                names=["id", "term", "tf", "raw"],
-            )
+                    if scope in scopes_of[t]:
+                        row = (key, scope, t, found.get(t, (0,))[0], t in raw, t in title, max(len(squashed), 1))
+                        for c, v in zip(out, row):
+                            c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "scope", "term", "tf", "raw", "titled", "len"])
 
     return count
 
 
-def match_terms(chunks: DataFrame, terms: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
-    """(id, term, tf, raw): non-overlapping occurrences in the squashed text, and whether the text as it is has the term.
+def match_terms(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, scope, term, tf, raw, titled, len) of the terms (scope, term) found in the chunks (id, scope, content) of their scope.
 
-    The distinct terms are taken in hash blocks of about TERM_BLOCK; only one
-    block is on the driver at a time and travels with its pass over the chunks.
+    tf: non-overlapping occurrences in the squashed text, len its length;
+    raw: whether the text as it is has the term; titled: whether the first line
+    has. The distinct terms are taken in hash blocks of about TERM_BLOCK; only
+    one block is on the driver at a time and travels with its pass over the chunks.
     """
-    distinct = terms.select("term").where("length(term) > 0").distinct()
+    distinct = terms.where("length(term) > 0").groupBy("term").agg(F.collect_set("scope").alias("scopes"))
     n = distinct.count()
     blocks = max(1, -(-n // TERM_BLOCK))
-    texts = chunks.where(F.col(content).isNotNull()).select(
-        F.col(key).cast("bigint").alias("id"), tx.squash(F.col(content)).alias("s"), F.lower(content).alias("l")
-    )
+    texts = chunks.where("content is not null").select(
+        F.col("id").cast("bigint").alias("id"), F.col("scope").cast("bigint").alias("scope"), tx.squash(F.col("content")).alias("s"),
+        F.lower("content").alias("l"), tx.squash(tx.first_filled_line(F.col("content"))).alias("t"),
+    )
+    schema = "id bigint, scope bigint, term string, tf bigint, raw boolean, titled boolean, len bigint"
     result = None
     for b in range(blocks):
-        mine = [r["term"] for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]
-        found = (texts if mine else texts.limit(0)).mapInArrow(_counter(mine or ["\0"]), "id bigint, term string, tf bigint, raw boolean")
+        mine = {r["term"]: set(r["scopes"]) for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()}
+        found = (texts if mine else texts.limit(0)).mapInArrow(_counter(mine or {"\0": set()}), schema)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -132,6 +139,25 @@ def scope_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def kept_statistics(chunks: DataFrame, path: str, ttl_seconds: int = 300) -> DataFrame:
+    """scope_statistics() from the table at path where they are younger than ttl_seconds; others are counted and stored.
+
+    The table has a folder for each time of counting, so what is stored never
+    changes while it is read; the newest row of a scope counts.
+    """
+    spark = chunks.sparkSession
+    schema = "scope bigint, n_chunks bigint, avg_length double, counted_at timestamp"
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    fresh = stored.where(F.col("counted_at") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    missing = chunks.join(fresh.select("scope").distinct(), "scope", "left_anti") if there else chunks
+    counted = scope_statistics(missing).withColumn("counted_at", F.current_timestamp())
+    counted.select("scope", "n_chunks", "avg_length", "counted_at").write.mode("append").parquet(path)
+    newest = spark.read.schema(schema).parquet(path).groupBy("scope").agg(F.max_by(F.struct("n_chunks", "avg_length"), "counted_at").alias("s"))
+    return newest.select("scope", "s.*")
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, config: Bm25 = Bm25()) -> DataFrame:
     """(query_id, id, bm25, phrase_hit, title_hits, score) of all chunks that hold a search term as it is.
 
@@ -140,36 +166,27 @@ def bm25(queries: DataFrame, chunks: DataFrame, config: Bm25 = Bm25()) -> DataFr
     """
     c = config.checked()
     asked = queries.select("query_id", "scope", "question", search_terms(F.col("question")).alias("terms"))
-    wanted = asked.select(
-        "query_id", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"),
-        tx.without_words(tx.squash(F.col("question")), PHRASE_NOISE).alias("phrase"),
-    )
-    hits = cut(match_terms(chunks, wanted).join(chunks.select("id", "scope"), "id"))  # read twice below
+    phrase = tx.without_words(tx.squash(F.col("question")), PHRASE_NOISE)
+    wanted = asked.select("query_id", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"), F.lit(False).alias("phrase"))
+    phrases = asked.where("size(terms) > 0").select("query_id", "scope", F.size("terms").alias("n_terms"), phrase.alias("term"), F.lit(True).alias("phrase"))
+    wanted = wanted.unionByName(phrases.where("length(term) >= 2"))
+    hits = cut(match_terms(chunks, wanted))  # read twice below
     frequency = hits.where("raw").groupBy("scope", "term").agg(F.count("*").alias("df"))
     stats = scope_statistics(chunks)
-    lengths = chunks.where("content is not null").select(
-        "id", F.greatest(F.length(tx.squash(F.col("content"))), F.lit(1)).alias("len"),
-        tx.squash(F.col("content")).alias("squashed"), tx.squash(tx.first_filled_line(F.col("content"))).alias("title"),
-    )
-    pairs = (
-        wanted.join(hits, ["scope", "term"])
-        .join(frequency, ["scope", "term"], "left")
-        .join(stats, "scope")
-        .join(lengths, "id")
-    )
+    pairs = wanted.join(hits, ["scope", "term"]).join(frequency, ["scope", "term"], "left").join(stats, "scope")
     df = F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))
     n = F.greatest("n_chunks", F.lit(1))
     average = F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(c.average_length)
     idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
     saturated = F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("len") / average))
-    phrase_hit = (F.length("phrase") >= 2) & F.contains("squashed", "phrase")
+    is_term = ~F.col("phrase")
     return (
         pairs.groupBy("query_id", "id")
         .agg(
-            F.sum(F.when(F.col("tf") > 0, idf * saturated).otherwise(0.0)).alias("bm25"),
-            F.bool_or("raw").alias("raw"),
-            F.bool_or(phrase_hit).alias("phrase_hit"),
-            F.sum(F.contains("title", "term").cast("int")).alias("title_hits"),
+            F.sum(F.when(is_term & (F.col("tf") > 0), idf * saturated).otherwise(0.0)).alias("bm25"),
+            F.bool_or(F.col("raw") & is_term).alias("raw"),
+            F.bool_or(F.col("phrase") & (F.col("tf") > 0)).alias("phrase_hit"),
+            F.sum((F.col("titled") & is_term).cast("int")).alias("title_hits"),
             F.max("n_terms").alias("n_terms"),
         )
         .where("raw")

@@ -15,6 +15,7 @@ from sievework.functions import text as tx
 from sievework.operators import context, evaluate, hybrid, keyword, models, rewrite, vector, vector_index
 from sievework.plans import sql as q
 from sievework.plans.document_queries import chunks, docs
+from sievework.session import cut
 from sievework.sources.tables import delivered_once, table
 
 
@@ -43,9 +44,10 @@ def _keywords(spark, d):
 
 
 def _merged(spark, d):
-    v = _vectors(spark, d)
-    k = keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k)
-    return v, k, hybrid.merge(v, k)
+    """Vector list, keyword list and merged list; written, since each is read by several branches."""
+    v = cut(_vectors(spark, d))
+    k = cut(keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k))
+    return v, k, cut(hybrid.merge(v, k))
 
 
 def v01_parse(spark, d):
@@ -110,9 +112,8 @@ def a01_corpus_stats(spark, d):
 
 def a02_document_frequency(spark, d):
     asked = questions(spark, d).select("scope", F.explode(keyword.search_terms(F.col("question"))).alias("term")).distinct()
-    hits = keyword.match_terms(chunks(spark, d, "content"), asked).where("raw")
-    counted = hits.join(scoped_chunks(spark, d).select("id", "scope"), "id").join(asked, ["scope", "term"])
-    return counted.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    hits = keyword.match_terms(scoped_chunks(spark, d), asked).where("raw")
+    return hits.groupBy("scope", "term").agg(F.count("*").alias("df"))
 
 
 def b01_keywords(spark, d):

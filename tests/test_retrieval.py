@@ -40,11 +40,26 @@ def test_search_terms(spark):
     assert got[2] == [] and got[3] == [] and got[4] == ["?"] and got[5] == ["是"]
 
 
-def test_term_matching_counts_without_overlap(spark):
-    chunks = spark.createDataFrame([(1, "aaaa b a a"), (2, None), (3, "")], "id long, content string")
-    terms = spark.createDataFrame([("aa",), ("b",), ("ba",), ("",)], "term string")
-    got = {(r["id"], r["term"]): (r["tf"], r["raw"]) for r in keyword.match_terms(chunks, terms).collect()}
-    assert got == {(1, "aa"): (3, True), (1, "b"): (1, True), (1, "ba"): (1, False)}
+def test_term_matching_counts_without_overlap(spark, monkeypatch):
+    rows = [(1, 7, "aaaa b\n a a"), (2, 7, None), (3, 7, ""), (4, 8, "aa"), (5, None, "aa")]
+    chunks = spark.createDataFrame(rows, "id long, scope long, content string")
+    terms = spark.createDataFrame([(7, "aa"), (7, "b"), (7, "ba"), (7, ""), (8, "b")], "scope long, term string")
+    want = {(1, "aa"): (3, True, True, 7), (1, "b"): (1, True, True, 7), (1, "ba"): (1, False, False, 7)}
+    for block in (100, 1):  # all terms at once, and one at a time
+        monkeypatch.setattr(keyword, "TERM_BLOCK", block)
+        got = {(r["id"], r["term"]): (r["tf"], r["raw"], r["titled"], r["len"]) for r in keyword.match_terms(chunks, terms).collect()}
+        assert got == want
+    assert keyword.match_terms(chunks, terms.limit(0)).count() == 0
+
+
+def test_statistics_are_kept_until_they_are_old(spark, tmp_path):
+    path = f"file://{tmp_path}/statistics"
+    chunks = spark.createDataFrame([(1, 7, "ab c"), (2, 7, "abcde"), (3, 8, None)], "id long, scope long, content string")
+    more = chunks.union(spark.createDataFrame([(4, 7, "x"), (5, 9, "xyz")], chunks.schema))
+    read = lambda df, ttl=300: {r["scope"]: (r["n_chunks"], r["avg_length"]) for r in keyword.kept_statistics(df, path, ttl).collect()}
+    assert read(chunks) == {7: (2, 4.0)}
+    assert read(more) == {7: (2, 4.0), 9: (1, 3.0)}  # 7 is kept, 9 is new
+    assert read(more, ttl=0)[7] == (3, 3.0)
 
 
 def test_hybrid_merge_and_cut(spark):
