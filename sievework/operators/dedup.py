@@ -85,16 +85,29 @@ def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataF
     return out.withColumn("kept", short | (first & unique_body)).drop("_len")
 
 
-def similar_pairs(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
-    """(document_id, a, b, jaccard) of chunks of one document with at least the threshold.
+def body_classes(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
+    """(document_id, id, rep, h) written to the shared folder: chunks of one document with equal shingles share rep, their smallest id.
 
-    Prefix filtering: with shingles in a fixed order, two sets above the
-    threshold share one of the first (1 - t) * n + 1 of each, so only those are
-    joined and full sets compared for the candidates. The order is by hash,
-    which spreads even the commonest shingles.
+    h is null but for the representatives, so copies cost two numbers each. Blank bodies are in no class.
+    """
+    sets = shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0)
+    coded = cut(sets.withColumn("code", F.unhex(F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256))))
+    reps = coded.groupBy(F.col("document_id").alias("d"), F.col("code").alias("c")).agg(F.min("id").alias("rep"))
+    joined = coded.join(reps, F.col("document_id").eqNullSafe(F.col("d")) & (F.col("code") == F.col("c")))
+    return cut(joined.select("document_id", "id", "rep", F.when(F.col("id") == F.col("rep"), F.col("h")).alias("h")))
+
+
+def similar_pairs(chunks: DataFrame, config: Dedup = Dedup(), classes: DataFrame | None = None) -> DataFrame:
+    """(document_id, a, b, jaccard) of classes of chunks of one document with at least the threshold.
+
+    a and b are the classes' representatives, body_classes() tells the members;
+    copies are in one class and no pair. Prefix filtering: with shingles in a
+    fixed order, two sets above the threshold share one of the first
+    (1 - t) * n + 1 of each, so only those are joined and full sets compared for
+    the candidates. The order is by hash, which spreads even the commonest shingles.
     """
     t = config.threshold
-    sets = cut(shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0))
+    sets = (classes if classes is not None else body_classes(chunks, config)).where("h is not null")
     keep = F.size("h") - F.ceil(F.size("h") * t).cast("int") + 1
     heads = sets.select("document_id", "id", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), keep)).alias("g"))
     left, right = heads.alias("l"), heads.alias("r")
@@ -109,27 +122,26 @@ def similar_pairs(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
     return both.select("document_id", "a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t)
 
 
-def greedy_kept(pairs: DataFrame) -> DataFrame:
+def greedy_kept(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(document_id, id) of chunks dropped because an earlier retained chunk is similar.
 
-    pairs hold only similar chunks of one document, earlier one first, so the
-    groups are as large as a document's near-duplicates. Retained ones decide
-    in id order; dropped ones suppress nothing.
+    pairs and classes: of similar_pairs() and body_classes(). Chunks are
+    retained or dropped in id order, dropped ones suppress nothing. A copy of an
+    earlier chunk always goes: what retains or drops the first of a class drops
+    the others. Among representatives, those without an undecided earlier one
+    are retained, all similar to them dropped, and so on; the rounds are the
+    longest chain of such decisions, and no group is gathered in one task.
     """
-
-    def drop(key, table):
-        import pyarrow as pa
-
-        earlier: dict[int, list[int]] = {}
-        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist()):
-            earlier.setdefault(b, []).append(a)
-        gone: set[int] = set()
-        for b in sorted(earlier):
-            if any(a not in gone for a in earlier[b]):
-                gone.add(b)
-        return pa.table({"document_id": pa.array([key[0].as_py()] * len(gone), pa.int64()), "id": pa.array(sorted(gone), pa.int64())})
-
-    return pairs.select("document_id", "a", "b").groupBy("document_id").applyInArrow(drop, "document_id bigint, id bigint")
+    dropped = classes.where("id <> rep").select("document_id", "id")
+    open_ = cut(pairs.select("document_id", "a", "b"))
+    while not open_.isEmpty():
+        waiting = open_.select(F.col("b").alias("a"))
+        firsts = open_.select("a").distinct().join(waiting, "a", "left_anti")
+        gone = cut(open_.join(firsts, "a", "left_semi").select("document_id", "b").distinct())
+        dropped = dropped.unionByName(gone.select("document_id", F.col("b").alias("id")))
+        left = open_.join(gone.select("b"), "b", "left_anti")
+        open_ = cut(left.join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("document_id", "a", "b"))
+    return dropped
 
 
 def reusable(chunks: DataFrame, documents: DataFrame, min_length: int = 30) -> DataFrame:

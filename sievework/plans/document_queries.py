@@ -231,8 +231,14 @@ def d05_similar_pairs(spark, d):
     return pairs.select("document_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def d05_classes(spark, d):
+    """Every chunk with the first chunk of its document that has the same shingles."""
+    return dedup.body_classes(chunks(spark, d, "document_id", "content")).select("document_id", "id", "rep")
+
+
 def d05_greedy(spark, d):
-    return dedup.greedy_kept(dedup.similar_pairs(chunks(spark, d, "document_id", "content")))
+    classes = dedup.body_classes(chunks(spark, d, "document_id", "content"))
+    return dedup.greedy_kept(dedup.similar_pairs(None, classes=classes), classes).where("document_id is not null")
 
 
 def d06_embedding_reuse(spark, d):
@@ -253,7 +259,7 @@ QUERIES = {
         s21_upload_check, s21_signature, s22_duplicate_files, s23_storage, f01_scope_filter, f02_parameter_union,
         f05_keyword_prefilter, f08_vector_fit, f11_unfinished, f12_transitions, f13_status_name, f14_access, c01_heading,
         c02_topics, c05_titles, c07_paragraphs, s14_upsert, s15_collection_check, c06_rule_split, c11_semantic_split, d01_content_hash, d02_exact_dedup, d03_body_dedup, d05_similar_pairs,
-        d05_greedy, d06_embedding_reuse, a11_dedup_counts,
+        d05_classes, d05_greedy, d06_embedding_reuse, a11_dedup_counts,
     )
 }
 
@@ -278,6 +284,7 @@ _SIMILAR = (
 grams as (select distinct id, document_id, unnest(case when length(s) < 5 then [s] else list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)) end) as g
   from compact where length(s) > 0),
 sizes as (select id, count(*) as n from grams group by id),
+classes as (select document_id, id, min(id) over (partition by document_id, gs) as rep from (select document_id, id, list_sort(list(g)) as gs from grams group by document_id, id)),
 shared as (select x.document_id, x.id as a, y.id as b, count(*) as m from grams x join grams y on x.document_id = y.document_id and x.g = y.g and x.id < y.id group by 1, 2, 3),
 similar_pairs as (select document_id, a, b, round(m / (p.n + r.n - m), 6) as jaccard from shared join sizes p on p.id = a join sizes r on r.id = b where m / (p.n + r.n - m) >= 0.9)
 """
@@ -364,7 +371,9 @@ select id, case when coalesce(file_size, 0) <= 0 then 400 when file_size > 52428
     "d01_content_hash": f"with {q.CHUNKS} select id, case when content is null then '' else sha256({q.cleaned('content')}) end as hash from chunks",
     "d02_exact_dedup": _DEDUP + "select id, (short or first)::int as kept from kept",
     "d03_body_dedup": _DEDUP + "select id, body_hash, kept::int as kept from kept",
-    "d05_similar_pairs": _SIMILAR + "select document_id, a, b, jaccard from similar_pairs",
+    "d05_classes": _SIMILAR + "select document_id, id, rep from classes",
+    "d05_similar_pairs": _SIMILAR
+    + "select p.document_id, a, b, jaccard from similar_pairs p join classes x on x.id = a and x.rep = a join classes y on y.id = b and y.rep = b",
     "d05_greedy": _SIMILAR
     + """, earlier as (select document_id, b, list(a) as before from similar_pairs group by document_id, b),
 runs as (select document_id, list_reduce(list({'b': b, 'before': before, 'gone': []::bigint[]} order by b),

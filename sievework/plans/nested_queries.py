@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import nested
-from sievework.sources.tables import table
+from sievework.sources.tables import delivered_once, table
 
 #: Table and JSON field of the records that are taken apart.
 FIELDS = [("eval_case_result", "retrieved_chunks"), ("eval_case", "golden_chunks"), ("eval_run", "config_snapshot")]
 
 
 def _nodes(spark: SparkSession, sf_dir: str, members: bool, whole: bool = False) -> DataFrame:
-    parts = [nested.shred(table(spark, sf_dir, t), t, "id", c, members, whole) for t, c in FIELDS]
-    nodes = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # A record delivered twice has every node twice: labels identify them.
-    return nodes.dropDuplicates(["source_table", "record_id", "dewey"])
+    # records once, before the walk: their texts are smaller than their nodes
+    parts = [nested.shred(delivered_once(table(spark, sf_dir, t), c), t, "id", c, members, whole) for t, c in FIELDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +46,11 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top-level list elements of retrieved_chunks as one typed table."""
-    nodes = nested.shred(table(spark, sf_dir, "eval_case_result"), "eval_case_result", "id", "retrieved_chunks")
+    once = delivered_once(table(spark, sf_dir, "eval_case_result"), "retrieved_chunks")
+    nodes = nested.shred(once, "eval_case_result", "id", "retrieved_chunks")
     fields = {"documentId": "bigint", "chunkIndex": "int", "similarityScore": "double", "finalScore": "double"}
     flat = nested.flat_table(nodes, "$[]", fields)
-    return flat.dropDuplicates(["record_id", "dewey"]).select(
+    return flat.select(
         "record_id",
         "position",
         F.col("documentId").alias("document_id"),

@@ -181,7 +181,36 @@ def test_dedup(spark):
     df = spark.createDataFrame(near, "id long, document_id long, content string")
     assert [(r["a"], r["b"]) for r in dedup.similar_pairs(df).collect()] == [(1, 2)]
     chain = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "document_id long, a long, b long")
-    assert [r["id"] for r in dedup.greedy_kept(chain).collect()] == [2]
+    alone = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)] + [(1, 9, 3), (2, 4, 4)], "document_id long, id long, rep long")
+    assert sorted(r["id"] for r in dedup.greedy_kept(chain, alone).collect()) == [2, 9]
+
+
+def test_greedy_rounds_and_classes_equal_brute_force(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(80)]
+    rows, n = [], 0
+    for doc in (1, 2, None):
+        base = list(words)
+        for _ in range(25):
+            n += 1
+            if rng.random() < 0.6:
+                base[rng.randrange(80)] = rng.choice("xyz") * 2
+            rows.append((n, doc, " ".join(base)))
+    df = spark.createDataFrame(rows, "id long, document_id long, content string")
+    grams = {i: {c[j : j + 5] for j in range(len(c) - 4)} for i, _, t in rows for c in [t.replace(" ", "")]}
+    classes = dedup.body_classes(df)
+    rep = {r["id"]: r["rep"] for r in classes.collect()}
+    same = lambda i, d: min(k for k, e, _ in rows if e == d and grams[k] == grams[i])
+    assert rep == {i: same(i, d) for i, d, _ in rows}
+    near = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.9
+    kept, gone = [], set()
+    for i, d, _ in rows:
+        if d is not None and any(e == d and near(i, k) for k, e in kept):
+            gone.add(i)
+        else:
+            kept.append((i, d))
+    got = {r["id"] for r in dedup.greedy_kept(dedup.similar_pairs(None, classes=classes), classes).where("document_id is not null").collect()}
+    assert got == gone and len(gone) > 10
 
 
 def test_reuse(spark):
