@@ -132,10 +132,9 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether decoding gives each text again (null counts as empty)."""
-    return spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", tokenizer.round_trip(F.col("text"), _bpe()).cast("int").alias("same")
-    )
+    """SHA-256 of what decoding the ids of each text gives (null counts as empty)."""
+    decoded = tokenizer.decoded(F.col("text"), _bpe())
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(decoded, 256).alias("text_hash"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Plan:
@@ -224,7 +223,7 @@ select id as chunk_id, case when len(list_filter(regexp_split_to_array(content,
   then 'forced' else 'natural' end as cut from chunks where length(content) > 800""",
     "p7_lengths": """
 select id as chunk_id, length(any_value(content)) as n_chars from document_chunk where length(content) > 800 group by id""",
-    "p8_round_trip": "select doc_id, 1 as same from documents",
+    "p8_round_trip": "select doc_id, sha256(coalesce(text, '')) as text_hash from documents",
     "p3_shortened": """
 with results as (select id, any_value(case_id) as case_id, any_value(answer) as answer from eval_case_result group by id)
 select a.id as result_id, a.case_id from results a where length(a.answer) >= 16 and exists (

@@ -252,12 +252,12 @@ def token_count(text: Column, path: str) -> Column:
     return run(text)
 
 
-def round_trip(text: Column, path: str) -> Column:
-    """Whether decoding the ids gives the text again."""
+def decoded(text: Column, path: str) -> Column:
+    """What decoding the ids of each text gives: the text again, empty for null."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         t = transducer(path)
-        return pd.Series(["".join(decode(t.encode(x), t.vocabulary)) == (x or "") for x in texts], dtype=bool)
+        return pd.Series(["".join(decode(t.encode(x), t.vocabulary)) for x in texts], dtype=object)
 
     return run(text)
