@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,12 +144,26 @@ def upload_code(name: Column, size: Column, content_type: Column, config: Upload
     )
 
 
+def _has_docx_parts(content: bytes | None) -> bool | None:
+    """Whether the bytes are a ZIP file with the two parts that make it a DOCX file."""
+    if content is None:
+        return None
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            return {"[Content_Types].xml", "word/document.xml"} <= set(z.namelist())
+    except (zipfile.BadZipFile, ValueError, NotImplementedError):
+        return False
+
+
 def signature_ok(name: Column, content: Column) -> Column:
-    """Whether the bytes are what the ending says: PDF mark, DOCX parts, or UTF-8 without NUL."""
+    """Whether the bytes are what the ending says: PDF mark, the DOCX parts of a ZIP file, or UTF-8 without NUL."""
     ending = extension(name)
-    docx = content.startswith(F.unhex(F.lit("504B"))) & (
-        F.contains(content, F.lit("[Content_Types].xml").cast("binary")) & F.contains(content, F.lit("word/document.xml").cast("binary"))
-    )
+
+    @F.pandas_udf("boolean")
+    def is_docx(contents: pd.Series) -> pd.Series:
+        return pd.Series([_has_docx_parts(c) for c in contents], dtype=object)
+
+    docx = is_docx(F.when(ending == "docx", content))
     text = ~F.contains(content, F.unhex(F.lit("00"))) & F.is_valid_utf8(content.cast("string"))
     return F.when(ending == "pdf", F.substring(content, 1, 5) == F.unhex(F.lit("255044462D"))).when(ending == "docx", docx).otherwise(text)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievework.operators import evaluate, rewrite
 from sievework.plans import sql as q
 from sievework.session import scratch
+from sievework.sources import files
 from sievework.sources.tables import delivered_once, table
 from sievework.streaming import ingest
 
@@ -111,7 +112,7 @@ def st_ingest(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     rows.write.parquet(f"{base}/landing")
     ingest.ingest_stream(spark, f"{base}/landing", "id bigint, text string", f"{base}/store", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/store").select("document_id", "chunk_index", "content_hash")
+    return files.current_chunks(spark, f"{base}/store", ingest.CHUNKS).select("document_id", "chunk_index", "content_hash")
 
 
 QUERIES = {

@@ -194,6 +194,29 @@ def q04_rewrite(spark, d):
     return out.select("id", "rewritten", F.array_join("keywords", "|").alias("keywords"), "reason")
 
 
+def q05_model_rewrite(spark, d):
+    """Replies of a stand-in model to every question: fenced, plain, with a blank query, too long, or no JSON at all."""
+    rows = delivered_once(table(spark, d, "eval_case"), "question").where("question is not null and length(question) > 0")
+    answer = lambda v, k: F.to_json(F.struct(v.alias("vectorQuery"), k.alias("keywordQuery"), F.array(F.lit("a"), F.lit("b")).alias("expandedKeywords")))
+    asked, kind = F.col("question"), F.pmod("id", F.lit(5))
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), answer(F.upper(asked), asked), F.lit("\n```")))
+        .when(kind == 1, answer(asked, asked))
+        .when(kind == 2, answer(F.lit("  "), asked))
+        .when(kind == 3, answer(F.repeat(asked, 6), asked))
+        .otherwise(F.lit("no JSON"))
+    )
+    reply = rewrite.model_rewrite(raw, asked)
+    return rows.select("id", reply["vector_query"].alias("vector_query"), reply["keyword_query"].alias("keyword_query"), F.array_join(reply["keywords"], ",").alias("keywords"))
+
+
+def r03_rewritten(spark, d):
+    """Keyword top-k with the rewritten questions instead of the original ones."""
+    asked = rewrite.rewrite(questions(spark, d), "question", Rewrite()).select("query_id", "scope", F.col("rewritten").alias("question"))
+    top = keyword.keyword_top_k(keyword.bm25(asked, scoped_chunks(spark, d)), Retrieval().keyword_top_k)
+    return top.withColumn("keyword_score", F.round("keyword_score", 6))
+
+
 def x01_sentences(spark, d):
     rows = chunks(spark, d, "content").select("id", context.sentences(tx.clean(F.col("content"))).alias("s"))
     return rows.select("id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\n"), 256).alias("text_hash"))
@@ -291,7 +314,7 @@ QUERIES = {
     for f in (
         e02_run_cases, x11_prompt, m05_overlap_rerank, m07_judge, h03_hybrid, v01_parse, v02_cosine, v03_embedding_topk, v03_vector_topk, v04_indexed_topk, v04_recall, v05_routed_topk, a01_corpus_stats, a02_document_frequency, b01_keywords,
         b04_bm25, b07_keyword_topk, b08_rule_score, r02_model_rerank, r03_retrieve, r04_cache_key, a12_funnel, q01_normalize,
-        q04_rewrite, x01_sentences, x05_compress, x07_context, x09_citations, x10_repair, m01_embedding,
+        q04_rewrite, q05_model_rewrite, r03_rewritten, x01_sentences, x05_compress, x07_context, x09_citations, x10_repair, m01_embedding,
     )
 }
 
@@ -470,6 +493,10 @@ select id, case when n > 0 and length(s) > 0 then round(least(1.0, 0.75 * h / n
   from asked left join knowledge_base k on k.id = asked.scope""",
     "q01_normalize": _normalize_sql(),
     "q04_rewrite": _rewrite_sql(),
+    "q05_model_rewrite": f"""with {q.CASES}, asked as (select id, question, id % 5 as kind from cases where question is not null and length(question) > 0)
+select id, case kind when 0 then upper(question) when 1 then question end as vector_query, case when kind < 2 then question end as keyword_query,
+  case when kind < 2 then 'a,b' end as keywords from asked where length(trim(question, ' ')) > 0
+union all select id, null, null, null from asked where length(trim(question, ' ')) = 0""",
     "x01_sentences": f"""with {q.CHUNKS}, cc as (select id, {q.cleaned('content')} as c from chunks), ss as (select id, c, {_SENTENCES} as s from cc),
 t as (select id, case when len(s) > 0 then s when length({q.trimmed('c')}) > 0 then [{q.trimmed('c')}] else []::varchar[] end as s from ss)
 select id, len(s)::int as n, sha256(array_to_string(s, chr(10))) as text_hash from t""",

@@ -9,6 +9,7 @@ import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,36 +83,97 @@ def parsed_text(name: Column, content: Column, pdf=pdf_text) -> Column:
     return tx.clean(F.when(ending.isin("docx", "pdf"), other).otherwise(plain))
 
 
-def write_by_document(chunks: DataFrame, path: str, partitions: int = 64) -> None:
-    """Replace exactly the stored partitions that hold the written documents' chunks.
+STORE_DOCUMENTS = "document_id bigint, version bigint, status int, process_error string"
 
-    Documents are spread over hash partitions; rewriting one document rewrites
-    its partition, so the partition's other chunks are read and kept.
+
+def write_version(documents: DataFrame, chunks: DataFrame | None, path: str, version: int) -> None:
+    """Append a version of documents (document_id, status, process_error) and of their chunks to a store.
+
+    Nothing stored is read or rewritten, however large the store: the newest
+    version of a document counts. A version that is written again (a batch that
+    is run again) replaces itself. Documents go last, so chunks of a version
+    that failed in between stay unseen.
     """
-    spark = chunks.sparkSession
-    part = F.pmod(F.xxhash64("document_id"), F.lit(partitions)).cast("int")
-    fresh = chunks.withColumn("part", part)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        touched = fresh.select("part").distinct()
-        kept = old.join(touched, "part", "left_semi").join(chunks.select("document_id").distinct(), "document_id", "left_anti")
-        fresh = fresh.unionByName(kept.select(*fresh.columns))
-        from sievework.session import cut
-
-        fresh = cut(fresh)  # a table can't be read while its partitions are replaced
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-
-
-def delete_objects(spark: SparkSession, base: str, keys: list[str]) -> int:
-    """Delete objects below base through Hadoop's file system; the number that existed."""
-    jvm = spark._jvm
-    n = 0
-    for key in keys:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{key}")
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False))
-    return n
+    if chunks is not None:
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/version={version}")
+    documents.select("document_id", "status", "process_error").write.mode("overwrite").parquet(f"{path}/documents/version={version}")
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def current_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, version, status, process_error) of each document's newest version."""
+    if not _stored(spark, f"{path}/documents"):
+        return spark.createDataFrame([], STORE_DOCUMENTS)
+    every = spark.read.schema(STORE_DOCUMENTS).parquet(f"{path}/documents")
+    newest = F.max_by(F.struct("version", "status", "process_error"), "version").alias("d")
+    return every.groupBy("document_id").agg(newest).select("document_id", "d.*")
+
+
+def current_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The chunks of the documents whose newest version succeeded; schema: DDL of the chunks' columns."""
+    if not _stored(spark, f"{path}/chunks"):
+        return spark.createDataFrame([], schema)
+    every = spark.read.schema(f"{schema}, version bigint").parquet(f"{path}/chunks")
+    good = current_documents(spark, path).where("status = 1").select("document_id", "version")
+    return every.join(good, ["document_id", "version"], "left_semi").drop("version")
+
+
+def compact(spark: SparkSession, path: str, schema: str) -> int:
+    """Write what is current as one version and drop those before it; the number of dropped versions. For quiet hours."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(int(s.getPath().getName().removeprefix("version=")) for s in files.listStatus(hadoop) if s.isDirectory()) if _stored(spark, f"{path}/documents") else []
+    if len(old) < 2:
+        return 0
+    write_version(current_documents(spark, path), current_chunks(spark, path, schema), path, old[-1] + 1)
+    for version in old:
+        for part in ("documents", "chunks"):  # documents first: chunks without them are unseen
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/version={version}"), True)
+    return len(old)
+
+
+def _per_object(objects: DataFrame, base: str, schema: str, action) -> DataFrame:
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            contents = batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * len(keys)
+            done = [action(system, f"{root.rstrip('/')}/{k}", c) for k, c in zip(keys, contents) if k]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in keys if k], pa.string()), pa.array(done, pa.int64())], names=["key", "n"])
+
+    return objects.mapInArrow(run, schema)
+
+
+def put_objects(objects: DataFrame, base: str) -> DataFrame:
+    """Write rows (key, content) as objects below base, creating folders, where the rows lie: (key, n) with the bytes written.
+
+    Lazy: evaluate it once. Null keys are left out, null contents are empty objects, a key written before is replaced.
+    """
+
+    def put(system, path, content):
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(content or b"")
+        return len(content or b"")
+
+    return _per_object(objects.select("key", "content"), base, "key string, n bigint", put)
+
+
+def delete_objects(objects: DataFrame, base: str) -> DataFrame:
+    """Delete the objects named by `key` below base where the rows lie: (key, n), n being 1 for those that existed. Lazy."""
+
+    def delete(system, path, _):
+        from pyarrow import fs
+
+        if system.get_file_info(path).type != fs.FileType.File:
+            return 0
+        system.delete_file(path)
+        return 1
+
+    return _per_object(objects.select("key").distinct(), base, "key string, n bigint", delete)

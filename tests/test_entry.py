@@ -25,13 +25,14 @@ def test_entry_without_the_subpackage():
 
 
 def test_streamed_ingest(spark, tmp_path):
+    from sievework.sources import files
     from sievework.streaming import ingest
 
     base = f"file://{tmp_path}"
     spark.createDataFrame([(1, "Erster Satz. " * 60), (2, None)], "id long, text string").write.parquet(f"{base}/landing")
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest_stream(spark, f"{base}/landing", "id bigint, text string", f"{base}/store", f"{base}/cp").awaitTermination()
-        rows = spark.read.parquet(f"{base}/store").collect()
+        rows = files.current_chunks(spark, f"{base}/store", ingest.CHUNKS).collect()
         assert sorted(r["chunk_index"] for r in rows) == list(range(1, len(rows) + 1)) and {r["document_id"] for r in rows} == {1}
 
 

@@ -86,12 +86,62 @@ def test_newest_version(spark):
     assert [r["name"] for r in docs.newest(df).collect()] == ["b"]
 
 
-def test_replace_by_document(spark, tmp_path):
+CHUNK = "document_id long, chunk_index int, content string"
+
+
+def test_versions_replace_documents(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    make = lambda rows: spark.createDataFrame(rows, CHUNK)
+    done = lambda ids, status=1, error=None: spark.createDataFrame([(i, status, error) for i in ids], "document_id long, status int, process_error string")
+    now = lambda: sorted((r["document_id"], r["content"]) for r in files.current_chunks(spark, store, CHUNK).collect())
+    assert now() == [] and files.current_documents(spark, store).count() == 0
+    files.write_version(done([1, 2, 3]), make([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d")]), store, 0)
+    files.write_version(done([1]), make([(1, 1, "new")]), store, 1)
+    files.write_version(done([3], 2, "bad file"), None, store, 2)
+    files.write_version(done([2]), make([]), store, 3)  # now without chunks
+    assert now() == [(1, "new")]
+    files.write_version(done([1]), make([(1, 1, "again")]), store, 1)  # the same batch once more
+    assert now() == [(1, "again")]
+    assert files.compact(spark, store, CHUNK) == 4 and files.compact(spark, store, CHUNK) == 0
+    assert now() == [(1, "again")]
+    states = {r["document_id"]: (r["status"], r["process_error"]) for r in files.current_documents(spark, store).collect()}
+    assert states == {1: (1, None), 2: (1, None), 3: (2, "bad file")}
+
+
+def test_failed_documents_have_no_chunks(spark, tmp_path):
+    from sievework.streaming import ingest
+
     store = f"file://{tmp_path}/store"
-    make = lambda rows: spark.createDataFrame(rows, "document_id long, chunk_index int, content string")
-    files.write_by_document(make([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]), store, 2)
-    files.write_by_document(make([(1, 1, "new")]), store, 2)
-    rows = spark.read.parquet(store).select("document_id", "content").collect()
-    assert sorted((r[0], r[1]) for r in rows) == [(1, "new"), (2, "c")]
-    (tmp_path / "k.txt").write_text("x")
-    assert files.delete_objects(spark, f"file://{tmp_path}", ["k.txt", "missing"]) == 1
+    rows = spark.createDataFrame([(1, "# T\n\nSome text."), (2, None)], "id long, text string")
+    ingest.replace_documents(rows, store, 0)
+    assert [r["document_id"] for r in files.current_chunks(spark, store, ingest.CHUNKS).collect()] == [1]
+
+    def broken(_):
+        raise RuntimeError("no model")
+
+    ingest.replace_documents(rows.where("id = 1"), store, 1, broken)
+    states = {r["document_id"]: (r["status"], r["process_error"]) for r in files.current_documents(spark, store).collect()}
+    assert states == {1: (2, "no model"), 2: (1, None)} and files.current_chunks(spark, store, ingest.CHUNKS).count() == 0
+
+
+def test_objects_are_put_and_deleted(spark, tmp_path):
+    base = f"file://{tmp_path}/bucket"
+    objects = spark.createDataFrame([("a/k.txt", b"xyz"), ("b.bin", None), (None, b"q")], "key string, content binary")
+    assert {r["key"]: r["n"] for r in files.put_objects(objects, base).collect()} == {"a/k.txt": 3, "b.bin": 0}
+    read = {r["name"]: bytes(r["content"]) for r in files.read_files(spark, base).select("name", "content").collect()}
+    assert read == {"k.txt": b"xyz"}  # readers leave empty files out
+    keys = spark.createDataFrame([("a/k.txt",), ("missing",), ("a/k.txt",)], "key string")
+    assert {r["key"]: r["n"] for r in files.delete_objects(keys, base).collect()} == {"a/k.txt": 1, "missing": 0}
+    assert files.read_files(spark, base).count() == 0 and (tmp_path / "bucket/b.bin").exists()
+
+
+def test_a_zip_file_that_only_names_the_parts_is_no_docx(spark):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("notes.txt", "[Content_Types].xml word/document.xml")
+    rows = [("a.docx", buffer.getvalue()), ("b.docx", b"PK[Content_Types].xml word/document.xml"), ("c.docx", b""), ("d.docx", None)]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    assert [r[0] for r in df.select(docs.signature_ok(F.col("name"), F.col("content"))).collect()] == [False, False, False, None]
