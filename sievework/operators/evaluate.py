@@ -136,13 +136,23 @@ def diagnose(runs: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def evidence(results: DataFrame) -> DataFrame:
-    """(run_id, bottleneck, case_ids): the affected cases of each run in order, each case once per result."""
+def evidence(results: DataFrame, stretch: int = 100_000) -> DataFrame:
+    """(run_id, bottleneck, place, case_id): the affected cases of each run in order of their results, one row per result.
+
+    Rows, not lists, since a run may hold a third of all results; they are
+    numbered within stretches of result ids, whose counts are summed up first.
+    """
     flags = affected()
     shown = F.array_compact(F.array(*[F.when(flags[b], F.lit(b)) for b in BOTTLENECKS]))
-    rows = results.select("run_id", "case_id", "id", F.explode(shown).alias("bottleneck"))
-    listed = F.array_sort(F.collect_list(F.struct("id", "case_id")))
-    return rows.groupBy("run_id", "bottleneck").agg(F.transform(listed, lambda r: r["case_id"]).alias("case_ids"))
+    rows = results.select("run_id", "case_id", "id", F.floor(F.col("id") / stretch).alias("_s"), F.explode(shown).alias("bottleneck"))
+    keys = ["run_id", "bottleneck", "_s"]
+    before = Window.partitionBy("run_id", "bottleneck").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    numbered = rows.withColumn("_i", inside).join(counts, same)
+    return numbered.select("run_id", "bottleneck", (F.col("_before") + F.col("_i")).alias("place"), "case_id")
 
 
 def primary(diagnosis: DataFrame) -> DataFrame:

@@ -66,8 +66,7 @@ def g09_primary(spark, d):
 
 
 def a06_evidence(spark, d):
-    out = evaluate.evidence(results(spark, d, *_CASE))
-    return out.select("run_id", "bottleneck", F.array_join(F.transform("case_ids", lambda x: x.cast("string")), ",").alias("case_ids"))
+    return evaluate.evidence(results(spark, d, *_CASE))
 
 
 def f09_enabled_cases(spark, d):
@@ -197,7 +196,7 @@ select id, round(c, 6) as correctness_value, round(m, 6) as completeness_value,
     + "select run_id, bottleneck, bottleneck || ': ' || priority || ' priority, ' || affected_cases || ' of ' || n_cases || ' cases' as summary from ranked where rank = 1",
     "a06_evidence": f"with {q.RESULTS}, x as ("
     + " union all ".join(f"select run_id, case_id, id, '{b}' as bottleneck from results where {f}" for b, f in _FLAGS.items())
-    + ") select run_id, bottleneck, string_agg(case_id::varchar, ',' order by id) as case_ids from x group by 1, 2",
+    + ") select run_id, bottleneck, row_number() over (partition by run_id, bottleneck order by id) as place, case_id from x",
     "f09_enabled_cases": f"with {q.CASES} select id, dataset_id from cases where enabled = 1",
     "f10_run_results": f"with {q.RESULTS} select id, run_id, case_id from results",
     "f15_run_list": f"with {q.RUNS} select id, run_name, case_count, round(avg_judge_score, 6) as avg_judge_score from runs",

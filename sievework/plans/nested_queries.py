@@ -19,7 +19,8 @@ def _nodes(spark: SparkSession, sf_dir: str, members: bool, whole: bool = False)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.list_elements(_nodes(spark, sf_dir, members=False)).select("source_table", "record_id", "path")
+    """The places of all list elements, taken from the rows of the flat tables."""
+    return nested.list_elements(_nodes(spark, sf_dir, members=True, whole=True)).select("source_table", "record_id", "path")
 
 
 def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,10 @@ def test_diagnosis(spark):
     d = {(r["run_id"], r["rank"]): r for r in evaluate.diagnose(runs, cases).collect()}
     assert d[1, 1]["bottleneck"] == "RETRIEVAL_RECALL" and d[1, 1]["priority"] == "HIGH" and d[1, 1]["affected_cases"] == 3
     assert d[2, 1]["bottleneck"] == "RETRIEVAL_RECALL" and d[2, 1]["problem_score"] == 1.0
-    e = {r["bottleneck"]: r["case_ids"] for r in evaluate.evidence(cases).collect()}
+    e: dict[str, list] = {}
+    for r in evaluate.evidence(cases, stretch=2).orderBy("bottleneck", "place").collect():
+        e.setdefault(r["bottleneck"], []).append(r["case_id"])
+        assert r["place"] == len(e[r["bottleneck"]])
     assert e["RETRIEVAL_RECALL"] == [1, 2, 4]
 
 
