@@ -50,10 +50,14 @@ def shingles(text: Column, size: int = 5) -> Column:
 
 
 def shingle_hashes(chunks: DataFrame, size: int = 5) -> DataFrame:
-    """(document_id, id, h): sorted 64-bit hashes of the shingles of each body; the sets of shingles(), in Arrow batches."""
+    """(document_id, id, h, code): sorted 64-bit hashes of the shingles of each body, in Arrow batches, and a 128-bit hash of them all.
+
+    h has the sets of shingles().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        import numpy as np
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for batch in batches:
             out = []
@@ -61,10 +65,14 @@ def shingle_hashes(chunks: DataFrame, size: int = 5) -> DataFrame:
                 c = _BLANKS.sub("", t or "")
                 grams = {c[i : i + size] for i in range(max(1, len(c) - size + 1))} if c else ()
                 out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["document_id", "id", "h"])
+            codes = [xxh3_128_digest(np.array(h, dtype=np.int64).tobytes()) for h in out]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
+                names=["document_id", "id", "h", "code"],
+            )
 
     bodies = chunks.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("id").cast("bigint").alias("id"), body(F.col("content")).alias("b"))
-    return bodies.mapInArrow(run, "document_id bigint, id bigint, h array<bigint>")
+    return bodies.mapInArrow(run, "document_id bigint, id bigint, h array<bigint>, code binary")
 
 
 def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataFrame:
@@ -90,8 +98,7 @@ def body_classes(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
 
     h is null but for the representatives, so copies cost two numbers each. Blank bodies are in no class.
     """
-    sets = shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0)
-    coded = cut(sets.withColumn("code", F.unhex(F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256))))
+    coded = cut(shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0))
     reps = coded.groupBy(F.col("document_id").alias("d"), F.col("code").alias("c")).agg(F.min("id").alias("rep"))
     joined = coded.join(reps, F.col("document_id").eqNullSafe(F.col("d")) & (F.col("code") == F.col("c")))
     return cut(joined.select("document_id", "id", "rep", F.when(F.col("id") == F.col("rep"), F.col("h")).alias("h")))

@@ -44,7 +44,14 @@ def _keywords(spark, d):
 
 
 def _merged(spark, d):
-    """Vector list, keyword list and merged list; written, since each is read by several branches."""
+    """Vector list, keyword list and merged list, for one reader each."""
+    v = _vectors(spark, d)
+    k = keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k)
+    return v, k, hybrid.merge(v, k)
+
+
+def _merged_once(spark, d):
+    """The same, written, for queries that read them in several branches."""
     v = cut(_vectors(spark, d))
     k = cut(keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k))
     return v, k, cut(hybrid.merge(v, k))
@@ -158,14 +165,14 @@ def r03_retrieve(spark, d):
 
 def r02_model_rerank(spark, d):
     """Reranking by a stand-in model that has no score for chunks whose id is divisible by 7."""
-    merged = _merged(spark, d)[2]
+    merged = _merged_once(spark, d)[2]
     scored = merged.where("id % 7 <> 0").select("query_id", "id", (F.pmod(F.col("id") * 37 + F.col("query_id"), F.lit(101)) / 101).alias("relevance"))
     out = hybrid.rerank(merged, scored)
     return out.select("query_id", "id", F.round("final_score", 6).alias("final_score"), F.col("keyword_score").isNull().cast("int").alias("no_keyword"))
 
 
 def a12_funnel(spark, d):
-    v, k, m = _merged(spark, d)
+    v, k, m = _merged_once(spark, d)
     return hybrid.funnel(v, k, m, hybrid.cut_off(hybrid.rerank(m)))
 
 
@@ -294,7 +301,7 @@ def x11_prompt(spark, d):
 
 def m05_overlap_rerank(spark, d):
     """The merged list reranked by the stand-in reranker."""
-    merged = _merged(spark, d)[2]
+    merged = _merged_once(spark, d)[2]
     texts = scoped_chunks(spark, d).select("id", "content")
     scored = merged.join(texts, "id").join(questions(spark, d).select("query_id", "question"), "query_id")
     relevance = scored.select("query_id", "id", models.overlap_relevance(F.col("question"), F.col("content")).alias("relevance"))
