@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import bisect
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from sievework.config import Dedup
 from sievework.functions import text as tx
 from sievework.session import cut
 
-_BLANKS = re.compile(tx.BLANKS)
+#: Rows of signatures that one task matches at a time, about.
+BUCKET_ROWS = 16384
 
 
 def content_hash(text: Column) -> Column:
@@ -49,30 +52,36 @@ def shingles(text: Column, size: int = 5) -> Column:
     return tx.let(F.regexp_replace(text, tx.BLANKS, ""), grams)
 
 
-def shingle_hashes(chunks: DataFrame, size: int = 5) -> DataFrame:
-    """(document_id, id, h, code): sorted 64-bit hashes of the shingles of each body, in Arrow batches, and a 128-bit hash of them all.
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Bijective 64-bit mixing (splitmix64)."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-    h has the sets of shingles().
-    """
+
+def _gram_hashes(text: str, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text without white space; a shorter text is its own."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = min(size, len(c))
+    h = np.full(len(c) - size + 1, 0x9E3779B97F4A7C15, np.uint64)
+    for i in range(size):
+        h = _mixed(h + c[i : i + len(h)])
+    return np.unique(h)
+
+
+def compact_bodies(chunks: DataFrame, size: int = 5) -> DataFrame:
+    """(document_id, id, s, code): the bodies without white space, where any is left, and a 128-bit hash of their shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            out = []
-            for t in batch.column(2).to_pylist():
-                c = _BLANKS.sub("", t or "")
-                grams = {c[i : i + size] for i in range(max(1, len(c) - size + 1))} if c else ()
-                out.append(sorted(xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams))
-            codes = [xxh3_128_digest(np.array(h, dtype=np.int64).tobytes()) for h in out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
-                names=["document_id", "id", "h", "code"],
-            )
+            codes = [xxh3_128_digest(_gram_hashes(t, size).tobytes()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names=["document_id", "id", "s", "code"])
 
-    bodies = chunks.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("id").cast("bigint").alias("id"), body(F.col("content")).alias("b"))
-    return bodies.mapInArrow(run, "document_id bigint, id bigint, h array<bigint>, code binary")
+    compact = F.regexp_replace(body(F.col("content")), tx.BLANKS, "")
+    bodies = chunks.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("id").cast("bigint").alias("id"), compact.alias("s"))
+    return bodies.where("length(s) > 0").mapInArrow(run, "document_id bigint, id bigint, s string, code binary")
 
 
 def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataFrame:
@@ -94,39 +103,103 @@ def exact(chunks: DataFrame, order: list[str], config: Dedup = Dedup()) -> DataF
 
 
 def body_classes(chunks: DataFrame, config: Dedup = Dedup()) -> DataFrame:
-    """(document_id, id, rep, h) written to the shared folder: chunks of one document with equal shingles share rep, their smallest id.
+    """(document_id, id, rep, s) written to the shared folder: chunks of one document with equal shingles share rep, their smallest id.
 
-    h is null but for the representatives, so copies cost two numbers each. Blank bodies are in no class.
+    s is the body without white space, null but for the representatives: a text
+    is an eighth of the hashes of its shingles. Blank bodies are in no class.
+    Rows delivered more than once may come along; the texts are moved once.
     """
-    coded = cut(shingle_hashes(chunks, config.shingle_size).where(F.size("h") > 0))
-    reps = coded.groupBy(F.col("document_id").alias("d"), F.col("code").alias("c")).agg(F.min("id").alias("rep"))
-    joined = coded.join(reps, F.col("document_id").eqNullSafe(F.col("d")) & (F.col("code") == F.col("c")))
-    return cut(joined.select("document_id", "id", "rep", F.when(F.col("id") == F.col("rep"), F.col("h")).alias("h")))
+    coded = compact_bodies(chunks, config.shingle_size).repartition("document_id", "code").dropDuplicates(["document_id", "code", "id"])
+    found = coded.withColumn("rep", F.min("id").over(Window.partitionBy("document_id", "code")))
+    return cut(found.select("document_id", "id", "rep", F.when(F.col("id") == F.col("rep"), F.col("s")).alias("s")))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], size: int, t: float, split: dict[int, int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, document_id, id, n, band, r, sigs) of the texts (document_id, id, s), as of similar_pairs()."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+        sets = [_gram_hashes(x, size) for x in batch.column(2).to_pylist()]
+        edges = [1]  # band k has the sizes from edges[k] to edges[k + 1] - 1; a set's size / t is in its band or the next
+        while edges[-1] <= max(map(len, sets), default=0):
+            edges.append(math.floor(edges[-1] / t + 1e-9) + 1)
+        for document, key, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+            own, parts = bisect.bisect_right(edges, len(h)) - 1, split.get(document, 1)
+            for band in range(max(0, own - 1), own + 1):
+                p = math.floor((edges[band + 1] - 1) * (1 - t) / t + 1e-6) + 1
+                ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(p) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
+                sigs = (_mixed(sums[ends[1:]] - sums[ends[:-1]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for r in range(min(parts, p)):
+                    row = (hash((document, band, r)) % buckets, document, key, len(h), band, r, sigs[r::parts])
+                    for c, v in zip(out, row):
+                        c.append(v)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "document_id", "id", "n", "band", "r", "sigs"])
+
+
+def _agreeing(rows: pa.Table, t: float) -> pa.Table:
+    """(document_id, a, b) of the rows of _signatures() of one bucket that have a signature in common and sizes that fit."""
+    schema = pa.schema([("document_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    rows = rows.combine_chunks()
+    document, key, n, band, r = (rows[c].to_numpy() for c in ("document_id", "id", "n", "band", "r"))
+    sigs = rows["sigs"].combine_chunks()
+    each = np.diff(sigs.offsets.to_numpy())
+    row = np.repeat(np.arange(len(key)), each)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    base = _mixed(_mixed(document.astype(np.uint64)) + (band.astype(np.uint64) << np.uint64(32)) + r.astype(np.uint64))
+    keys = _mixed(base[row] + _mixed((place.astype(np.uint64) << np.uint64(32)) | sigs.flatten().to_numpy().view(np.uint32).astype(np.uint64)))
+    order = np.argsort(keys)
+    keys, row = keys[order], row[order]
+    found, held, at, d = np.zeros(0, np.int64), [], np.arange(len(keys)), 1
+    while len(at):  # the runs of equal keys, at a growing distance
+        at = at[at + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        x, y = row[at], row[at + d]
+        fit = (document[x] == document[y]) & (key[x] != key[y]) & (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-6)
+        held.append(np.minimum(x, y)[fit] * len(key) + np.maximum(x, y)[fit])
+        d += 1
+        if not len(at) or sum(map(len, held)) > 4_000_000:
+            found, held = np.unique(np.concatenate([found, *held])), []
+    x, y = np.divmod(found, max(len(key), 1))
+    return pa.table([document[x], np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], schema=schema)
+
+
+def _jaccards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Adds the similarity of the two texts in the last two columns in their place."""
+    grams = lambda c: {c[i : i + size] for i in range(max(1, len(c) - size + 1))}
+    for batch in batches:
+        both = [(grams(x), grams(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        shared = [len(x & y) for x, y in both]
+        values = [s / (len(x) + len(y) - s) for s, (x, y) in zip(shared, both)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.float64())], names=["document_id", "a", "b", "jaccard"])
 
 
 def similar_pairs(chunks: DataFrame, config: Dedup = Dedup(), classes: DataFrame | None = None) -> DataFrame:
     """(document_id, a, b, jaccard) of classes of chunks of one document with at least the threshold.
 
     a and b are the classes' representatives, body_classes() tells the members;
-    copies are in one class and no pair. Prefix filtering: with shingles in a
-    fixed order, two sets above the threshold share one of the first
-    (1 - t) * n + 1 of each, so only those are joined and full sets compared for
-    the candidates. The order is by hash, which spreads even the commonest shingles.
+    copies are in one class and no pair. Two sets above the threshold t differ in
+    at most D = m (1 - t) / t shingles, m the smaller one's size; so of D + 1
+    ranges of the hashes at least one holds the same shingles of both, and its
+    sum is a signature that texts with common phrases don't share. D is that of
+    a band of sizes, a set is in its own band and the one below. A row has all
+    signatures of a set and band; a document of many sets has several rows, each
+    with some of the ranges. Pairs that share a signature are compared by text.
     """
-    t = config.threshold
-    sets = (classes if classes is not None else body_classes(chunks, config)).where("h is not null")
-    keep = F.size("h") - F.ceil(F.size("h") * t).cast("int") + 1
-    heads = sets.select("document_id", "id", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), keep)).alias("g"))
-    left, right = heads.alias("l"), heads.alias("r")
-    near = (F.col("l.n") >= F.col("r.n") * t) & (F.col("r.n") >= F.col("l.n") * t)
-    on = (F.col("l.document_id") == F.col("r.document_id")) & (F.col("l.g") == F.col("r.g")) & (F.col("l.id") < F.col("r.id")) & near
-    pairs = left.join(right, on).select(F.col("l.document_id").alias("document_id"), F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    a = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"))
-    b = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    jaccard = shared / (F.size("ha") + F.size("hb") - shared)
-    return both.select("document_id", "a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t)
+    t, size = config.threshold, config.shingle_size
+    sets = (classes if classes is not None else body_classes(chunks, config)).where("s is not null and document_id is not null").select("document_id", "id", "s")
+    n = sets.count()
+    large = sets.groupBy("document_id").count().where(F.col("count") > BUCKET_ROWS)
+    split, buckets = {r["document_id"]: -(-r["count"] // BUCKET_ROWS) for r in large.collect()}, max(1, -(-2 * n // BUCKET_ROWS))
+    kinds = "bucket int, document_id bigint, id bigint, n int, band int, r int, sigs array<int>"
+    signed = sets.mapInArrow(lambda batches: _signatures(batches, size, t, split, buckets), kinds)
+    agreeing = signed.groupBy("bucket").applyInArrow(lambda rows: _agreeing(rows, t), "document_id bigint, a bigint, b bigint")
+    pairs = cut(agreeing.distinct())
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = cut(sets.join(ids, "id", "left_semi"))
+    left, right = texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), texts.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("document_id", "a", "b", "sa", "sb")
+    return both.mapInArrow(lambda batches: _jaccards(batches, size), "document_id bigint, a bigint, b bigint, jaccard double").where(F.col("jaccard") >= t)
 
 
 def greedy_kept(pairs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from sievework.config import Dedup
 from sievework.functions import text as tx
 from sievework.operators import dedup, documents, split, vector, vector_index
 from sievework.plans import sql as q
+from sievework.session import spread
 from sievework.sources import files
 from sievework.sources.tables import delivered_once, table
 
@@ -226,8 +227,13 @@ def d03_body_dedup(spark, d):
     return out.select("id", "body_hash", F.col("kept").cast("int").alias("kept"))
 
 
+def _classes(spark, d):
+    """Classes of the chunks as delivered: copies of a row are dropped on the way, without moving the texts for it."""
+    return dedup.body_classes(spread(table(spark, d, "document_chunk").select("id", "document_id", "content")))
+
+
 def d05_similar_pairs(spark, d):
-    pairs = dedup.similar_pairs(chunks(spark, d, "document_id", "content"))
+    pairs = dedup.similar_pairs(None, classes=_classes(spark, d))
     return pairs.select("document_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,31 @@ def test_scratch_folders_are_deleted(spark, tmp_path):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Elsewhere)
+
+
+def test_similar_pairs_of_common_phrases_equal_brute_force(spark, monkeypatch):
+    """Texts that share many shingles without being similar are no candidates, whatever the buckets and copies of rows."""
+    rng = random.Random(5)
+    phrases = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(40)]
+    rows, n = [], 0
+    for doc in (1, 2, 3):
+        for _ in range(60):
+            text = "".join(rng.choice(phrases) for _ in range(rng.choice([1, 4, 12, 40])))
+            for _ in range(rng.choice([1, 1, 1, 3])):
+                n += 1
+                at = rng.randrange(len(text))
+                rows.append((n, doc, text if rng.random() < 0.3 else text[:at] + "~" * rng.choice([1, 2, 4]) + text[at + 1 :]))
+    df = spark.createDataFrame(rows + rows[::7], "id long, document_id long, content string")
+    grams = {i: {c[j : j + 5] for j in range(max(1, len(c) - 4))} for i, _, c in rows}
+    first = {i: min(k for k, e, _ in rows if e == d and grams[k] == grams[i]) for i, d, _ in rows}
+    reps = [(i, d) for i, d, _ in rows if first[i] == i]
+    jaccard = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    for rows_each, t in ((16384, 0.9), (40, 0.75)):
+        monkeypatch.setattr(dedup, "BUCKET_ROWS", rows_each)
+        want = {(i, j): jaccard(i, j) for i, d in reps for j, e in reps if d == e and i < j and jaccard(i, j) >= t}
+        got = {(r["a"], r["b"]): r["jaccard"] for r in dedup.similar_pairs(df, Dedup(threshold=t)).collect()}
+        assert got == want and len(want) > 20
+    sets = pa.RecordBatch.from_pylist([{"document_id": d, "id": i, "s": c} for i, d, c in rows])
+    candidates = dedup._agreeing(pa.Table.from_batches(dedup._signatures(iter([sets]), 5, 0.9, {}, 1)), 0.9).num_rows
+    every = [(jaccard(i, j), grams[i] & grams[j]) for i, d, _ in rows for j, e, _ in rows if d == e and i < j]
+    assert sum(x >= 0.9 for x, _ in every) <= candidates < sum(bool(g) for _, g in every) / 20
