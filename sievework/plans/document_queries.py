@@ -239,11 +239,11 @@ def d05_similar_pairs(spark, d):
 
 def d05_classes(spark, d):
     """Every chunk with the first chunk of its document that has the same shingles."""
-    return dedup.body_classes(chunks(spark, d, "document_id", "content")).select("document_id", "id", "rep")
+    return _classes(spark, d).select("document_id", "id", "rep")
 
 
 def d05_greedy(spark, d):
-    classes = dedup.body_classes(chunks(spark, d, "document_id", "content"))
+    classes = _classes(spark, d)
     return dedup.greedy_kept(dedup.similar_pairs(None, classes=classes), classes).where("document_id is not null")
 
 

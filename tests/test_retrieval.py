@@ -339,3 +339,11 @@ def test_similar_pairs_of_common_phrases_equal_brute_force(spark, monkeypatch):
     candidates = dedup._agreeing(pa.Table.from_batches(dedup._signatures(iter([sets]), 5, 0.9, {}, 1)), 0.9).num_rows
     every = [(jaccard(i, j), grams[i] & grams[j]) for i, d, _ in rows for j, e, _ in rows if d == e and i < j]
     assert sum(x >= 0.9 for x, _ in every) <= candidates < sum(bool(g) for _, g in every) / 20
+
+
+def test_classes_carry_one_text_each_and_copies_of_rows_none(spark):
+    """No shingle hashes are written: a class has the text of its first chunk, its other members have numbers only."""
+    rows = [(1, 7, "some longer text"), (2, 7, "some longer  text"), (3, 7, "another text"), (4, None, "some longer text"), (5, 7, " ")]
+    classes = dedup.body_classes(spark.createDataFrame(rows + rows, "id long, document_id long, content string"))
+    assert not [t for _, t in classes.dtypes if t.startswith("array")]
+    assert sorted((r["id"], r["rep"], r["s"]) for r in classes.collect()) == [(1, 1, "somelongertext"), (2, 1, None), (3, 3, "anothertext"), (4, 4, "somelongertext")]
