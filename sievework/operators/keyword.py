@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ PHRASE_NOISE = ["什么", "怎么", "如何", "为什么", "是否", "请问", "
 
 #: Terms of one automaton at most; a hundred thousand short terms take some tens of MB of a worker.
 TERM_BLOCK = 100_000
+#: Chunks and queries of a scope that meet in one task, about.
+CHUNK_BLOCK = 32_768
+QUERY_BLOCK = 16_384
 
 
 def _quoted(words: list[str]) -> str:
@@ -132,6 +136,64 @@ def match_terms(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return result
 
 
+def _packer(scopes_of: dict[str, set], ids: dict[str, int], part: int):
+    """As _counter(), with a row for each chunk: its hits as the terms' numbers and 4 tf + 2 raw + titled."""
+    schema = pa.schema([("id", pa.int64()), ("scope", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("len", pa.int32()), ("terms", pa.list_(pa.int32())), ("marks", pa.list_(pa.int32()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sized(source):
+            for batch in source:
+                sizes.append(batch)
+                yield pa.RecordBatch.from_arrays(batch.columns[:5], names=batch.schema.names[:5])
+
+        sizes: list[pa.RecordBatch] = []
+        for hits in _counter(scopes_of)(sized(batches)):
+            batch = sizes.pop()
+            row_of = {key: i for i, key in enumerate(batch.column(0).to_pylist())}
+            terms: list[dict[int, int]] = [{} for _ in range(batch.num_rows)]
+            for key, t, tf, raw, titled in zip(*(hits.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                terms[row_of[key]][ids[t]] = 4 * tf + 2 * raw + titled
+            order = [sorted(x) for x in terms]
+            first = [row_of[key] == i for i, key in enumerate(batch.column(0).to_pylist())]  # copies of a row may come along
+            out = (
+                batch.column(0), batch.column(1), pa.array([part] * batch.num_rows, pa.int32()), batch.column(5).cast(pa.int32()), batch.column(6).cast(pa.int32()),
+                pa.array(order, pa.list_(pa.int32())), pa.array([[x[t] for t in o] for x, o in zip(terms, order)], pa.list_(pa.int32())),
+            )
+            yield pa.RecordBatch.from_arrays(list(out), schema=schema).filter(pa.array(first))
+
+    return pack
+
+
+def packed_hits(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, scope, part, size, len, terms, marks) of every chunk, written, and (term, number).
+
+    What match_terms() finds in a row for each chunk and block of terms (part):
+    numbers of the terms and 4 tf + 2 raw + titled, in order. size: characters
+    without white space; len: of the squashed text, at least 1. Chunks delivered
+    more than once count once.
+    """
+    spark = chunks.sparkSession
+    distinct = terms.where("length(term) > 0").groupBy("term").agg(F.collect_set("scope").alias("scopes"))
+    blocks = max(1, -(-distinct.count() // TERM_BLOCK))
+    squashed = tx.squash(F.col("content"))
+    texts = chunks.where("content is not null").select(
+        F.col("id").cast("bigint").alias("id"), F.col("scope").cast("bigint").alias("scope"), squashed.alias("s"),
+        F.lower("content").alias("l"), tx.squash(tx.first_filled_line(F.col("content"))).alias("t"),
+        F.length(F.regexp_replace("content", tx.BLANKS, "")).alias("size"), F.greatest(F.length(squashed), F.lit(1)).alias("len"),
+    )
+    schema = "id bigint, scope bigint, part int, size int, len int, terms array<int>, marks array<int>"
+    found = numbers = None
+    n = 0
+    for b in range(blocks):
+        mine = {r["term"]: set(r["scopes"]) for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()}
+        ids = {t: n + i for i, t in enumerate(sorted(mine))}
+        n += len(ids)
+        hits = texts.mapInArrow(_packer(mine or {"\0": set()}, ids, b), schema)
+        own = spark.createDataFrame(pa.table({"term": pa.array(ids.keys(), pa.string()), "number": pa.array(ids.values(), pa.int32())}))
+        found, numbers = (hits, own) if found is None else (found.unionByName(hits), numbers.unionByName(own))
+    return cut(found.dropDuplicates(["id", "part"])), numbers
+
+
 def scope_statistics(chunks: DataFrame) -> DataFrame:
     """(scope, n_chunks, avg_length) of the chunks with content; length without white space."""
     return chunks.where("content is not null").groupBy("scope").agg(
@@ -158,6 +220,15 @@ def kept_statistics(chunks: DataFrame, path: str, ttl_seconds: int = 300) -> Dat
     return newest.select("scope", "s.*")
 
 
+def _wanted(queries: DataFrame) -> DataFrame:
+    """(query_id, scope, n_terms, term, phrase) of all search terms and phrases."""
+    asked = queries.select("query_id", "scope", "question", search_terms(F.col("question")).alias("terms"))
+    phrase = tx.without_words(tx.squash(F.col("question")), PHRASE_NOISE)
+    wanted = asked.select("query_id", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"), F.lit(False).alias("phrase"))
+    phrases = asked.where("size(terms) > 0").select("query_id", "scope", F.size("terms").alias("n_terms"), phrase.alias("term"), F.lit(True).alias("phrase"))
+    return wanted.unionByName(phrases.where("length(term) >= 2"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, config: Bm25 = Bm25()) -> DataFrame:
     """(query_id, id, bm25, phrase_hit, title_hits, score) of all chunks that hold a search term as it is.
 
@@ -165,11 +236,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, config: Bm25 = Bm25()) -> DataFr
     one; document frequencies count texts as they are, at least 1.
     """
     c = config.checked()
-    asked = queries.select("query_id", "scope", "question", search_terms(F.col("question")).alias("terms"))
-    phrase = tx.without_words(tx.squash(F.col("question")), PHRASE_NOISE)
-    wanted = asked.select("query_id", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"), F.lit(False).alias("phrase"))
-    phrases = asked.where("size(terms) > 0").select("query_id", "scope", F.size("terms").alias("n_terms"), phrase.alias("term"), F.lit(True).alias("phrase"))
-    wanted = wanted.unionByName(phrases.where("length(term) >= 2"))
+    wanted = _wanted(queries)
     hits = cut(match_terms(chunks, wanted))  # read twice below
     frequency = hits.where("raw").groupBy("scope", "term").agg(F.count("*").alias("df"))
     stats = scope_statistics(chunks)
@@ -211,6 +278,87 @@ def keyword_top_k(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, config: Bm25 = Bm25()) -> DataFrame:
+    """keyword_top_k() of bm25(), without a row for each pair of a query and a chunk that share a term.
+
+    Hits are written once, in a row for each chunk. Queries and chunks of a scope
+    meet in blocks of a bounded size; each pair of blocks keeps k per query, and
+    the winners of the blocks are ranked last.
+    """
+    c = config.checked()
+    wanted = cut(_wanted(queries))
+    hits, numbers = packed_hits(chunks, wanted)
+    stats = hits.where("part = 0").groupBy("scope").agg(F.count("*").alias("n_chunks"), F.avg("size").alias("avg_length"))
+    each = hits.select("scope", F.explode(F.arrays_zip("terms", "marks")).alias("h")).where("h.marks & 2 = 2")
+    frequency = each.groupBy("scope", F.col("h.terms").alias("number")).agg(F.count("*").alias("df"))
+    df = F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))
+    n = F.greatest("n_chunks", F.lit(1))
+    rated = wanted.join(numbers, "term").join(frequency, ["scope", "number"], "left").join(F.broadcast(stats), "scope").select(
+        "query_id", "scope", "n_terms", "phrase", "number", F.ln(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), "n_chunks",
+        F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(c.average_length).alias("average"),
+    )
+    term = F.when(~F.col("phrase"), F.struct("number", "idf"))
+    asked = cut(
+        rated.groupBy("query_id", "scope").agg(
+            F.max("n_terms").alias("n_terms"), F.max("average").alias("average"), F.max("n_chunks").alias("n_chunks"),
+            F.array_sort(F.collect_list(term)).alias("terms"), F.max(F.when(F.col("phrase"), F.col("number"))).alias("phrase"),
+        )
+    )
+    grid = F.broadcast(
+        asked.groupBy("scope").agg(F.ceil(F.max("n_chunks") / CHUNK_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
+    )
+    spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    own = lambda key, x: F.pmod(F.xxhash64(key), F.col(x)).cast("int")
+    left = asked.join(grid, "scope").select(
+        "scope", spread("blocks").alias("b"), own("query_id", "q_blocks").alias("q"), "query_id", "n_terms", "average", "phrase",
+        F.col("terms.number").alias("numbers"), F.col("terms.idf").alias("idfs"),
+    )
+    right = hits.where("size(terms) > 0").join(grid, "scope").select(
+        "scope", own("id", "blocks").alias("b"), spread("q_blocks").alias("q"), "id", "len", "terms", "marks"
+    )
+
+    def block(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        if not lefts.num_rows or not rights.num_rows:
+            return schema.empty_table()
+        rights = rights.combine_chunks()
+        listed = rights["terms"].combine_chunks()
+        ids, chunk = np.unique(rights["id"].to_numpy(), return_inverse=True)  # a chunk has a row for each block of terms
+        at = np.repeat(chunk, np.diff(listed.offsets.to_numpy()))
+        numbers, marks = listed.flatten().to_numpy(), rights["marks"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((at, numbers))
+        at, numbers, marks = at[order], numbers[order], marks[order]
+        lens = np.zeros(len(ids))
+        lens[chunk] = rights["len"].to_numpy()
+        tf = (marks >> 2).astype(np.float64)
+        saturated = tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * lens[at] / lefts["average"][0].as_py()))
+        keys, starts = np.unique(numbers, return_index=True)
+        span = {t: slice(x, y) for t, x, y in zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(numbers)])}
+        score, raw, titles, found = np.zeros(len(ids)), np.zeros(len(ids), bool), np.zeros(len(ids)), []
+        for query, n_terms, phrase, terms, idfs in zip(*(lefts[x].to_pylist() for x in ("query_id", "n_terms", "phrase", "numbers", "idfs"))):
+            score[:], raw[:], titles[:] = 0.0, False, 0.0
+            for t, idf in zip(terms, idfs):
+                if (s := span.get(t)) is not None:  # a chunk is once among a term's hits
+                    i, m = at[s], marks[s]
+                    score[i] += idf * saturated[s]
+                    raw[i] |= (m & 2) > 0
+                    titles[i] += m & 1
+            if (s := span.get(phrase)) is not None:
+                score[at[s]] += np.where(tf[s] > 0, c.phrase_boost, 0.0)
+            some = np.flatnonzero(raw)
+            value = score[some] + c.title_boost * titles[some] / n_terms
+            some, value = some[value > 0], value[value > 0]
+            if len(value) > k:
+                good = value >= np.partition(value, len(value) - k)[len(value) - k]
+                some, value = some[good], value[good]
+            best = np.argsort(-value, kind="stable")[:k]  # ids ascend
+            found.append((np.full(len(best), query), ids[some[best]], value[best]))
+        return pa.table([np.concatenate(x) for x in zip(*found)], schema=schema)
+
+    keys = ["scope", "b", "q"]
+    return keyword_top_k(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "query_id bigint, id bigint, score double"), k)
+
+
 def rule_score(terms: Column, phrase: Column, squashed: Column) -> Column:
     """Share of terms found (0.6 and, as the text has no lines left, 0.15 for the title) and phrase (0.25), at most 1."""
     share = F.size(F.filter(terms, lambda t: F.contains(squashed, t))) / F.size(terms)

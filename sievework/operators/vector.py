@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a chunk block and of a query block; a product of both is what a task holds.
-CHUNK_BLOCK = 8192
-QUERY_BLOCK = 1024
+#: Rows of a chunk block and of a query block in one task, and queries of one product. Large blocks keep copies and winners few.
+CHUNK_BLOCK = 32_768
+QUERY_BLOCK = 16_384
+PRODUCT_ROWS = 128
 
 
 def parse(text: Column) -> Column:
@@ -71,13 +72,21 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
         if not lefts.num_rows or not rights.num_rows:
             return schema.empty_table()
-        s = unit(lefts["vector"], lefts.num_rows) @ unit(rights["vector"], rights.num_rows).T
         ids = np.asarray(rights["id"])
         by_id = np.argsort(ids, kind="stable")
-        s, ids = s[:, by_id], ids[by_id]
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        query = np.repeat(np.asarray(lefts["query_id"]), best.shape[1])
-        return pa.table([query, ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()], schema=schema)
+        ids, held_units = ids[by_id], unit(rights["vector"], rights.num_rows)[by_id]
+        asked_units, query = unit(lefts["vector"], lefts.num_rows), np.asarray(lefts["query_id"])
+        n, found = min(k, len(ids)), []
+        for at in range(0, len(query), PRODUCT_ROWS):
+            s = asked_units[at : at + PRODUCT_ROWS] @ held_units.T
+            # the last bits of a product depend on its shape: what is near the k-th is computed alike for all, so that equal vectors tie
+            floor = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-12
+            for i, row in enumerate(s):
+                some = np.flatnonzero(row >= floor[i])
+                value = (held_units[some] * asked_units[at + i]).sum(axis=1)
+                best = np.argsort(-value, kind="stable")[:k]
+                found.append((np.full(len(best), query[at + i]), ids[some[best]], value[best]))
+        return pa.table([np.concatenate(x) for x in zip(*found)], schema=schema)
 
     keys = ["scope", "dim", "b", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "query_id bigint, id bigint, similarity double")

@@ -15,7 +15,7 @@ from sievework.functions import text as tx
 from sievework.operators import context, evaluate, hybrid, keyword, models, rewrite, vector, vector_index
 from sievework.plans import sql as q
 from sievework.plans.document_queries import chunks, docs
-from sievework.session import cut
+from sievework.session import cut, spread
 from sievework.sources.tables import delivered_once, table
 
 
@@ -26,16 +26,34 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return cases.join(sets, "dataset_id").where("scope is not null").select(F.col("id").alias("query_id"), "scope", "question")
 
 
+#: Documents that are sent to every executor to find the chunks of a scope; more are joined.
+SENT_DOCUMENTS = 1_000_000
+
+
 def scoped_chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Chunks of finished documents with their base as scope."""
+    return delivered_once(_delivered_chunks(spark, d, *columns), "document_id", "content", "scope", *columns)
+
+
+def _delivered_chunks(spark: SparkSession, d: str, *columns: str, asked: DataFrame | None = None) -> DataFrame:
+    """scoped_chunks() with the copies of rows, which have equal values: what isn't searched goes before anything is moved.
+
+    asked: only chunks of its scopes.
+    """
     done = docs(spark, d).where("status = 1 and knowledge_base_id is not null").select(F.col("id").alias("document_id"), F.col("knowledge_base_id").alias("scope"))
-    return chunks(spark, d, "document_id", "content", *columns).where("content is not null").join(done, "document_id")
+    if asked is not None:
+        done = done.join(asked.select("scope").distinct(), "scope", "left_semi").select("document_id", "scope")
+    done = cut(done)
+    rows = spread(table(spark, d, "document_chunk").where("content is not null").select("id", *dict.fromkeys(("document_id", "content", *columns))))
+    return rows.join(F.broadcast(done) if done.count() <= SENT_DOCUMENTS else done, "document_id")
 
 
 def _vectors(spark, d):
-    asked = questions(spark, d).select("query_id", "scope", vector.hashed_embedding(F.col("question")).alias("vector"))
-    held = scoped_chunks(spark, d, "vector_id").select("id", "scope", vector.parse(F.col("vector_id")).alias("vector"))
+    asked = questions(spark, d)
+    held = _delivered_chunks(spark, d, "vector_id", asked=asked).where("vector_id is not null").select("id", "scope", "vector_id")
+    held = delivered_once(held, "scope", "vector_id").select("id", "scope", vector.parse(F.col("vector_id")).alias("vector"))
     usable = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e150))
+    asked = asked.select("query_id", "scope", vector.hashed_embedding(F.col("question")).alias("vector"))
     return vector.top_k(asked, held.where("vector is not null").where(usable), Retrieval().vector_top_k)
 
 
@@ -43,17 +61,20 @@ def _keywords(spark, d):
     return keyword.bm25(questions(spark, d), scoped_chunks(spark, d))
 
 
+def _keyword_top(spark, d):
+    asked = questions(spark, d)
+    return keyword.bm25_top_k(asked, _delivered_chunks(spark, d, asked=asked), Retrieval().keyword_top_k)
+
+
 def _merged(spark, d):
     """Vector list, keyword list and merged list, for one reader each."""
-    v = _vectors(spark, d)
-    k = keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k)
+    v, k = _vectors(spark, d), _keyword_top(spark, d)
     return v, k, hybrid.merge(v, k)
 
 
 def _merged_once(spark, d):
     """The same, written, for queries that read them in several branches."""
-    v = cut(_vectors(spark, d))
-    k = cut(keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k))
+    v, k = cut(_vectors(spark, d)), cut(_keyword_top(spark, d))
     return v, k, cut(hybrid.merge(v, k))
 
 
@@ -133,8 +154,7 @@ def b04_bm25(spark, d):
 
 
 def b07_keyword_topk(spark, d):
-    top = keyword.keyword_top_k(_keywords(spark, d), Retrieval().keyword_top_k)
-    return top.withColumn("keyword_score", F.round("keyword_score", 6))
+    return _keyword_top(spark, d).withColumn("keyword_score", F.round("keyword_score", 6))
 
 
 def b08_rule_score(spark, d):

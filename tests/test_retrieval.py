@@ -347,3 +347,36 @@ def test_classes_carry_one_text_each_and_copies_of_rows_none(spark):
     classes = dedup.body_classes(spark.createDataFrame(rows + rows, "id long, document_id long, content string"))
     assert not [t for _, t in classes.dtypes if t.startswith("array")]
     assert sorted((r["id"], r["rep"], r["s"]) for r in classes.collect()) == [(1, 1, "somelongertext"), (2, 1, None), (3, 3, "anothertext"), (4, 4, "somelongertext")]
+
+
+def test_keyword_top_k_by_blocks_equals_ranking_all_pairs(spark, monkeypatch):
+    """One row of hits for each chunk and k rows for each query and block, not one for each term or pair that meets."""
+    rng = random.Random(3)
+    words = ["缓存", "击穿", "redis", "index", "向量", "检索", "重排", "chunk", "query", "node"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, i % 3, text(rng.randint(1, 6)) + "\n" + text(rng.randint(1, 12))) for i in range(240)] + [(500, 0, None), (501, 1, " ")]
+    chunks = spark.createDataFrame(rows, "id long, scope long, content string")
+    queries = spark.createDataFrame([(i, i % 4, text(rng.randint(1, 4))) for i in range(40)] + [(90, 0, "?"), (91, 1, None)], "query_id long, scope long, question string")
+    want = {(r["query_id"], r["id"]): (round(r["keyword_score"], 9), r["keyword_rank"]) for r in keyword.keyword_top_k(keyword.bm25(queries, chunks), 7).collect()}
+    for terms, held, asked in ((100, 32768, 16384), (9, 20, 5)):
+        monkeypatch.setattr(keyword, "TERM_BLOCK", terms)
+        monkeypatch.setattr(keyword, "CHUNK_BLOCK", held)
+        monkeypatch.setattr(keyword, "QUERY_BLOCK", asked)
+        found = keyword.bm25_top_k(queries, chunks.union(chunks.where("id % 5 = 0")), 7).collect()
+        assert {(r["query_id"], r["id"]): (round(r["keyword_score"], 9), r["keyword_rank"]) for r in found} == want and len(found) == len(want) > 150
+    monkeypatch.setattr(keyword, "TERM_BLOCK", 100)
+    hits, _ = keyword.packed_hits(chunks, queries.select("scope", F.explode(keyword.search_terms(F.col("question"))).alias("term")))
+    assert hits.count() == 241
+
+
+def test_vector_top_k_of_equal_vectors_keeps_id_order(spark, monkeypatch):
+    rng = random.Random(8)
+    same = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(7)]
+    held = spark.createDataFrame([(i, 1, same[i % 7]) for i in range(333)], "id long, scope long, vector array<double>")
+    asked = spark.createDataFrame([(q, 1, [rng.gauss(0, 1) for _ in range(32)]) for q in range(21)], "query_id long, scope long, vector array<double>")
+    monkeypatch.setattr(vector, "CHUNK_BLOCK", 50)
+    monkeypatch.setattr(vector, "PRODUCT_ROWS", 4, raising=False)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in b))
+    best = {r["query_id"]: max(range(7), key=lambda j: cos(r["vector"], same[j])) for r in asked.collect()}
+    got = {(r["query_id"], r["vector_rank"]): r["id"] for r in vector.top_k(asked, held, 30).collect()}
+    assert got == {(q, n + 1): j + 7 * n for q, j in best.items() for n in range(30)}
