@@ -258,9 +258,7 @@ def x05_compress(spark, d):
 
 
 def x07_context(spark, d):
-    final = hybrid.cut_off(hybrid.rerank(_merged(spark, d)[2])).select("query_id", "rank", "id")
-    rows = final.join(scoped_chunks(spark, d, "chunk_index").select("id", "document_id", "chunk_index", "content"), "id")
-    out = context.assemble(rows)
+    out = context.assemble(_sources(spark, d))
     return out.select("query_id", "n_sources", F.sha2("context", 256).alias("context_hash"))
 
 
@@ -290,8 +288,9 @@ def m01_embedding(spark, d):
 
 def _sources(spark, d):
     """Final sources of every question with their places and texts."""
-    final = hybrid.cut_off(hybrid.rerank(_merged(spark, d)[2])).select("query_id", "rank", "id")
-    return final.join(scoped_chunks(spark, d, "chunk_index").select("id", "document_id", "chunk_index", "content"), "id")
+    final = cut(hybrid.cut_off(hybrid.rerank(_merged(spark, d)[2])).select("query_id", "rank", "id"))
+    held = _delivered_chunks(spark, d, "chunk_index", asked=questions(spark, d)).join(final.select("id").distinct(), "id", "left_semi")
+    return final.join(delivered_once(held, "document_id", "chunk_index", "content"), "id")
 
 
 def e02_run_cases(spark, d):

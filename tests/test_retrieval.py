@@ -380,3 +380,16 @@ def test_vector_top_k_of_equal_vectors_keeps_id_order(spark, monkeypatch):
     best = {r["query_id"]: max(range(7), key=lambda j: cos(r["vector"], same[j])) for r in asked.collect()}
     got = {(r["query_id"], r["vector_rank"]): r["id"] for r in vector.top_k(asked, held, 30).collect()}
     assert got == {(q, n + 1): j + 7 * n for q, j in best.items() for n in range(30)}
+
+
+def test_only_chunks_of_asked_scopes_are_read_on(spark):
+    """Texts of sources come from chunks of the asked bases alone, which are chosen before copies of rows are dropped."""
+    from sievework.plans import retrieval_queries as r
+
+    d = "/root/testdata/sf0.001"
+    asked = r.questions(spark, d).where("scope is not null").orderBy("scope").limit(1)
+    scope = asked.first()["scope"]
+    every = r.scoped_chunks(spark, d)
+    got = {x["id"] for x in r._delivered_chunks(spark, d, asked=asked).collect()}
+    assert got == {x["id"] for x in every.where(F.col("scope") == scope).collect()} and len(got) < every.count()
+    assert {x["id"] for x in r._sources(spark, d).collect()} <= {x["id"] for x in every.collect()}
