@@ -50,7 +50,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     held = chunks.where("vector is not null and size(vector) > 0").withColumn("dim", F.size("vector"))
     sizes = held.groupBy("scope", "dim").agg(F.ceil(F.count("*") / CHUNK_BLOCK).cast("int").alias("blocks"))
     q_sizes = asked.groupBy("scope", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    grid = sizes.join(q_sizes, ["scope", "dim"])
+    grid = F.broadcast(sizes.join(q_sizes, ["scope", "dim"]))  # a row for each scope: vectors move once, in their blocks
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     # fresh names on both sides: they may come from one table

@@ -393,3 +393,18 @@ def test_only_chunks_of_asked_scopes_are_read_on(spark):
     got = {x["id"] for x in r._delivered_chunks(spark, d, asked=asked).collect()}
     assert got == {x["id"] for x in every.where(F.col("scope") == scope).collect()} and len(got) < every.count()
     assert {x["id"] for x in r._sources(spark, d).collect()} <= {x["id"] for x in every.collect()}
+
+
+def test_vectors_move_in_their_blocks_alone(spark):
+    """The grid of blocks is sent to the vectors; they aren't moved by scope to meet it, however large it is thought to be."""
+    rows = [(i, i % 3, [float(i % 7 - 3), 1.0]) for i in range(60)]
+    held = spark.createDataFrame(rows, "id long, scope long, vector array<double>")
+    asked = held.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vector.top_k(asked, held, 5)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("BroadcastHashJoin") == 2 and found.count() == 15
