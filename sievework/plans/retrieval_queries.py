@@ -28,6 +28,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 #: Documents that are sent to every executor to find the chunks of a scope; more are joined.
 SENT_DOCUMENTS = 1_000_000
+#: Chunks that are sources of any question and are sent to every executor to find their texts; more are joined.
+SENT_SOURCES = 1_000_000
 
 
 def scoped_chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -289,7 +291,9 @@ def m01_embedding(spark, d):
 def _sources(spark, d):
     """Final sources of every question with their places and texts."""
     final = cut(hybrid.cut_off(hybrid.rerank(_merged(spark, d)[2])).select("query_id", "rank", "id"))
-    held = _delivered_chunks(spark, d, "chunk_index", asked=questions(spark, d)).join(final.select("id").distinct(), "id", "left_semi")
+    found = final.select("id").distinct()
+    found = F.broadcast(found) if found.count() <= SENT_SOURCES else found  # else every text would be moved to be matched
+    held = _delivered_chunks(spark, d, "chunk_index", asked=questions(spark, d)).join(found, "id", "left_semi")
     return final.join(delivered_once(held, "document_id", "chunk_index", "content"), "id")
 
 

@@ -408,3 +408,20 @@ def test_vectors_move_in_their_blocks_alone(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.count("BroadcastHashJoin") == 2 and found.count() == 15
+
+
+def test_texts_of_sources_alone_are_moved(spark, monkeypatch):
+    """Chunks are matched with the sources where they lie; with more sources than are sent, the same rows are found by a join."""
+    from sievework.plans import retrieval_queries as r
+
+    d = "/root/testdata/sf0.001"
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = r._sources(spark, d)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftSemi" in x]
+        monkeypatch.setattr(r, "SENT_SOURCES", 0, raising=False)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, r._sources(spark, d).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
