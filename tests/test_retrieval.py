@@ -425,3 +425,15 @@ def test_texts_of_sources_alone_are_moved(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, r._sources(spark, d).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_prompts_move_texts_of_their_sources_alone(spark):
+    from sievework.plans import retrieval_queries as r
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = r.x11_prompt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftSemi" in x]
